@@ -21,7 +21,7 @@ def key_lines(spark: SparkSession, path: str) -> DataFrame:
     checked = raw.select(
         F.when(
             F.octet_length("text") > MAX_KEY_BYTES, F.raise_error(F.lit("the answer key is too large"))
-        ).otherwise(F.regexp_replace("text", "^﻿", "")).alias("text")
+        ).otherwise(F.regexp_replace("text", "^\ufeff", "")).alias("text")
     )
     return checked.select(F.posexplode(text.split_lines(F.col("text"))).alias("pos", "line")).select(
         (F.col("pos") + 1).alias("line_no"), "line"
