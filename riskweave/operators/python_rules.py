@@ -297,3 +297,34 @@ def entity_parser_overrides(facts: DataFrame) -> DataFrame:
         "repository_id", "path", F.col("line").alias("line_start"), F.lit("HIGH").alias("severity"),
         F.lit("HIGH").alias("confidence"),
     )
+
+
+def python_rule(rule_id: str, facts: DataFrame, levels) -> DataFrame:
+    """Matches of one rule.  ``levels`` is a function: rules that ask no level never build a graph."""
+    conditions = call_conditions()
+    if rule_id == "PY006":
+        shown = text.redact_assignment(F.col("target"), F.col("value"))
+        return _match(facts.filter(hardcoded_secret()), "PY006", shown).dropDuplicates(
+            ["repository_id", "path", "line_start"]
+        )
+    calls = facts.filter("fact = 'call'")
+    if rule_id in conditions:
+        condition, kind = conditions[rule_id]
+        wanted = calls.filter(condition)
+        if kind is not None:
+            wanted = with_levels(wanted, levels()).filter(F.col(f"level_{kind}") != dims.CLEAN)
+        found = _match(wanted, rule_id)
+        if rule_id == "PY011":
+            found = found.unionByName(random_matches(facts, levels()))
+        return found.dropDuplicates(["repository_id", "path", "line_start"])
+    found_levels = levels()
+    if rule_id == "PY019":
+        return ldap_matches(with_levels(calls, found_levels), facts)
+    if rule_id == "PY021":
+        return html_matches(facts, found_levels)
+    if rule_id == "PY022":
+        return session_matches(facts, found_levels)
+    condition = sql_condition() if rule_id == "PY010" else reached_conditions()[rule_id]
+    return _match(with_levels(calls, found_levels).filter(condition), rule_id).dropDuplicates(
+        ["repository_id", "path", "line_start"]
+    )
