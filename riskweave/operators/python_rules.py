@@ -299,6 +299,13 @@ def entity_parser_overrides(facts: DataFrame) -> DataFrame:
     )
 
 
+def needs_levels(rule_id: str) -> bool:
+    conditions = call_conditions()
+    if rule_id == "PY011":
+        return True
+    return rule_id != "PY006" and (rule_id not in conditions or conditions[rule_id][1] is not None)
+
+
 def python_rule(rule_id: str, facts: DataFrame, levels) -> DataFrame:
     """Matches of one rule.  ``levels`` is a function: rules that ask no level never build a graph."""
     conditions = call_conditions()

@@ -268,10 +268,20 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, sinks.unionByName(named.distinct())
 
 
+def parsed_once(facts: DataFrame) -> DataFrame:
+    """Facts written to the shared folder: the graph and the rules read them many times."""
+    ensure_checkpoint_dir(facts.sparkSession)
+    return facts.checkpoint()
+
+
 def python_levels(facts: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``levels(repository_id, path, line, kind, level, source_line)`` for ``python_matches``."""
+    """``levels(repository_id, path, line, kind, level, source_line)`` for ``python_matches``.
+
+    ``facts`` should come from ``parsed_once``.
+    """
     nodes, edges, sinks = flow_tables(facts)
     state = propagate(nodes, edges, max_rounds=max_rounds)
+    sinks = sinks.checkpoint()
     wanted = sinks.filter("kind <> 'random'")
     levels = classify(state, wanted).join(
         wanted.select("id", "kind", "repository_id", "path", "line"), ["id", "kind"]
@@ -300,13 +310,14 @@ def propagate(
     the shared folder, so a lost executor repeats one round, not all of them.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
+    # Read by every round: written once, in the form the rounds join on.
+    steps = edges.select("src", "dst", "safe_for").filter("src is not null and dst is not null").checkpoint()
     start = nodes.select(
         "id", "origin", F.col("line").cast("bigint").alias("source"), "safe_for",
         F.explode(_strings(kinds)).alias("kind"),
     ).filter(~F.array_contains("safe_for", F.col("kind")))
     frontier = start.groupBy(*KEY).agg(F.min("source").alias("source")).checkpoint()
     seen = frontier
-    steps = edges.select("src", "dst", "safe_for").filter("src is not null and dst is not null")
     for _ in range(max_rounds):
         moved = (
             steps.join(frontier.withColumnRenamed("id", "src"), "src")

@@ -446,8 +446,8 @@ def appeared_findings(t: Tables):
     return identity.appeared_findings(before, after).drop("first_new")
 
 
-@query("identify", f"""SELECT count(*) AS findings, count(DISTINCT repository_id) AS repositories FROM (SELECT DISTINCT repository_id, rule_id, file_path, k5, occ FROM (
- SELECT repository_id, rule_id, file_path, k % 5 AS k5, severity, row_number() OVER (PARTITION BY repository_id, rule_id, file_path, {squash('snippet')} ORDER BY id) AS occ FROM v_findings))""")
+@query("identify", f"""SELECT count(*) AS findings, count(DISTINCT repository_id) AS repositories FROM (SELECT DISTINCT repository_id, rule_id, file_path, code, occ FROM (
+ SELECT repository_id, rule_id, file_path, code, row_number() OVER (PARTITION BY repository_id, rule_id, file_path, code ORDER BY line_start, id) AS occ FROM (SELECT *, {squash('snippet')} AS code FROM v_findings)))""")
 def identify(t: Tables):
     rows = t.file_findings.drop("fingerprint")
     numbered = identity.number_repeats(rows, repeat_bucket())

@@ -8,13 +8,14 @@ from riskweave import dims
 from riskweave.operators import detect, pattern_rules, python_facts, python_rules, reachability
 from riskweave.plans.adapters import Tables
 from riskweave.plans.registry import query
+from riskweave.plans.snippets import SNIPPETS
 
 MATCH = ["repository_id", "path", "line_start", "rule_id"]
 MATCH_SQL = "SELECT repository_id, path, line_start, rule_id FROM v_matches"
 
 
 def python_findings(t: Tables):
-    facts = python_facts.python_call_facts(t.code)
+    facts = reachability.parsed_once(python_facts.python_call_facts(t.code))
     return python_rules.python_matches(facts, reachability.python_levels(facts))
 
 
@@ -50,6 +51,8 @@ def _python_rule(rule_id: str):
     @query(f"rule_{rule_id}", MATCH_SQL + f" WHERE rule_id = '{rule_id}'")
     def run(t: Tables):
         facts = python_facts.python_call_facts(t.code)
+        if python_rules.needs_levels(rule_id):
+            facts = reachability.parsed_once(facts)
         found = python_rules.python_rule(rule_id, facts, lambda: reachability.python_levels(facts))
         return found.select(*MATCH)
 
@@ -88,7 +91,7 @@ def secret_context_window(t: Tables):
     return rows.select("doc_id", F.posexplode(near).alias("pos", "near")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "near")
 
 
-@query("python_call_facts", """SELECT path, count(*) FILTER (WHERE regexp_matches(line, '^import |^from ')) > 0 AS has_import, t = 47 AS unparsable FROM v_code_lines WHERE ext = '.py' GROUP BY path, t""")
+@query("python_call_facts", f"""SELECT path, count(*) FILTER (WHERE regexp_matches(line, '^import |^from ')) > 0 AS has_import, t = {len(SNIPPETS) - 1} AS unparsable FROM v_code_lines WHERE ext = '.py' GROUP BY path, t""")
 def python_call_facts(t: Tables):
     facts = python_facts.python_call_facts(t.code)
     seen = facts.groupBy("path").agg(

@@ -8,6 +8,7 @@ from riskweave.functions import stats
 from riskweave.operators import evaluation, joins, learning
 from riskweave.plans.adapters import CHECK_ORDER, Tables
 from riskweave.plans.registry import query
+from riskweave.plans.snippets import SNIPPETS
 
 
 
@@ -118,8 +119,8 @@ def mcnemar_exact(t: Tables):
     return rows.select("user_id", F.round(stats.mcnemar_exact(F.col("a"), F.col("b")), 7).alias("p"))
 
 
-@query("evaluation_guards", """SELECT 'no source file' AS problem, 'd' || l.doc_id AS subject FROM labels l JOIN v_code f ON f.doc_id = l.doc_id WHERE ext NOT IN ('.py','.js','.mjs','.ts','.jsx','.vue','.java','.kt','.scala','.php','.go','.cs')
- UNION ALL SELECT 'case file does not parse', path FROM labels l JOIN v_code f ON f.doc_id = l.doc_id WHERE t = 47
+@query("evaluation_guards", f"""SELECT 'no source file' AS problem, 'd' || l.doc_id AS subject FROM labels l JOIN v_code f ON f.doc_id = l.doc_id WHERE ext NOT IN ('.py','.js','.mjs','.ts','.jsx','.vue','.java','.kt','.scala','.php','.go','.cs')
+ UNION ALL SELECT 'case file does not parse', path FROM labels l JOIN v_code f ON f.doc_id = l.doc_id WHERE t = {len(SNIPPETS) - 1}
  UNION ALL SELECT 'scan stopped at its limit', CAST(repository_id AS VARCHAR) FROM (SELECT repository_id, count(*) AS n FROM v_findings GROUP BY 1) WHERE n >= 9""")
 def evaluation_guards(t: Tables):
     from riskweave.operators.python_facts import python_call_facts
@@ -230,7 +231,8 @@ AUCS = f"""SELECT predictor, avg(auc) AS auc FROM (SELECT predictor, fold, (sum(
 @query("model_verdict", f"""WITH x AS ({AUCS}), w AS (SELECT count(*) FILTER (WHERE m AND NOT r) AS model_only, count(*) FILTER (WHERE r AND NOT m) AS baseline_only FROM (SELECT patch_id, bool_or((probability >= 0.5) = passed) FILTER (WHERE predictor = 'model') AS m,
  bool_or((probability >= 0.5) = passed) FILTER (WHERE predictor <> 'model') AS r FROM v_predictions GROUP BY 1))
  SELECT model_only, baseline_only, round((SELECT auc FROM x WHERE predictor = 'model'), 9) AS model_mean, round((SELECT auc FROM x WHERE predictor <> 'model'), 9) AS rule_mean,
- CASE WHEN (SELECT auc FROM x WHERE predictor = 'model') <= (SELECT auc FROM x WHERE predictor <> 'model') + 0.02 THEN 'no better' ELSE 'unclear' END AS verdict FROM w""")
+ CASE WHEN (SELECT auc FROM x WHERE predictor = 'model') <= (SELECT auc FROM x WHERE predictor <> 'model') + 0.02 THEN 'no better'
+ WHEN model_only > baseline_only AND 2 * (SELECT sum(exp(lgamma(model_only + baseline_only + 1) - lgamma(i + 1) - lgamma(model_only + baseline_only - i + 1) - (model_only + baseline_only) * ln(2.0::DOUBLE))) FROM (SELECT unnest(range(0, baseline_only + 1)) AS i)) < 0.05 THEN 'better' ELSE 'unclear' END AS verdict FROM w""")
 def model_verdict(t: Tables):
     rows = learning.model_comparison(t.predictions).withColumn("verdict", learning.model_verdict())
     return rows.select(

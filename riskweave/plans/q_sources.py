@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from riskweave import dims
 from riskweave.functions import paths
-from riskweave.functions.text import html_text
 from riskweave.operators import aggregates, evaluation, report, risk
 from riskweave.plans.adapters import CHECK_ORDER, Tables, lines_of, now
 from riskweave.plans.q_evaluation import verdicts
 from riskweave.plans.registry import query
-from riskweave.plans.views import array, severity_rank, squash, suffix
+from riskweave.plans.views import array, half_even, severity_rank, squash, suffix
 from riskweave.session import ensure_checkpoint_dir
 from riskweave.sinks import evaluation as evaluation_sink
 from riskweave.sinks import reports, sarif, state
@@ -44,9 +43,9 @@ def scan_source_tree(t: Tables):
     return tree.select_sources(t.files).select("doc_id", "path", "ext", "length")
 
 
-@query("decode_text", """SELECT doc_id, CASE WHEN bytes > 20000 THEN 'too large' WHEN doc_id % 17 = 0 THEN 'binary' END AS skipped,
- CASE WHEN bytes <= 20000 AND doc_id % 17 <> 0 THEN length(text) END AS characters
- FROM (SELECT doc_id, text, CASE WHEN doc_id % 19 = 0 AND narrow THEN length(text) WHEN doc_id % 17 = 0 THEN octet_length(encode(text)) + 1 ELSE octet_length(encode(text)) END AS bytes
+@query("decode_text", """SELECT doc_id, CASE WHEN bytes > 20000 THEN 'too large' WHEN nul THEN 'binary' END AS skipped,
+ CASE WHEN bytes <= 20000 AND NOT nul THEN length(text) END AS characters
+ FROM (SELECT doc_id, text, doc_id % 17 = 0 AND NOT (doc_id % 19 = 0 AND narrow) AS nul, CASE WHEN doc_id % 19 = 0 AND narrow THEN length(text) WHEN doc_id % 17 = 0 THEN octet_length(encode(text)) + 1 ELSE octet_length(encode(text)) END AS bytes
  FROM (SELECT *, NOT regexp_matches(text, '[^\\x{00}-\\x{ff}]') AS narrow FROM documents))""")
 def decode_text(t: Tables):
     n = F.col("doc_id")
@@ -120,17 +119,20 @@ def read_sarif_fingerprints(t: Tables):
  sha256({squash('text')}) AS description FROM documents WHERE doc_id % 6 <> 0""")
 def read_cwe_catalogue(t: Tables):
     n = F.col("doc_id").cast("string")
-    status = F.when(F.col("doc_id") % 6 == 0, "Deprecated").otherwise("Stable")
-    body = F.regexp_replace(html_text(F.col("text")), "\n", "&#10;")
-    xml = F.concat(
-        F.lit('<Weakness ID="'), n, F.lit('" Name="Name '), "lang", F.lit('" Status="'), status, F.lit('"><Description>'), body,
-        F.lit('</Description><Applicable_Platforms><Language Class="Not Language-Specific"/><Language Name="Java"/></Applicable_Platforms>'
-              "<Common_Consequences><Consequence><Scope>Integrity</Scope><Impact>Modify</Impact><Note>n</Note></Consequence></Common_Consequences>"
-              "<Potential_Mitigations><Mitigation><Phase>Design</Phase><Description>Do "),
-        n, F.lit("</Description></Mitigation></Potential_Mitigations></Weakness>"),
+    language = lambda name, kind: F.struct(F.lit(name).cast("string").alias("_Name"), F.lit(kind).cast("string").alias("_Class"))
+    consequence = F.struct(
+        F.array(F.lit("Integrity")).alias("Scope"), F.array(F.lit("Modify")).alias("Impact"), F.array(F.lit("n")).alias("Note")
+    )
+    mitigation = F.struct(F.array(F.lit("Design")).alias("Phase"), F.concat(F.lit("Do "), n).alias("Description"))
+    catalogue = t.documents.select(
+        n.alias("_ID"), F.concat(F.lit("Name "), "lang").alias("_Name"),
+        F.when(F.col("doc_id") % 6 == 0, "Deprecated").otherwise("Stable").alias("_Status"), F.col("text").alias("Description"),
+        F.struct(F.array(language(None, "Not Language-Specific"), language("Java", None)).alias("Language")).alias("Applicable_Platforms"),
+        F.struct(F.array(consequence).alias("Consequence")).alias("Common_Consequences"),
+        F.struct(F.array(mitigation).alias("Mitigation")).alias("Potential_Mitigations"),
     )
     path = scratch(t, "cwe")
-    t.documents.select(xml.alias("value")).write.text(path)
+    catalogue.write.format("xml").option("rootTag", "Weakness_Catalog").option("rowTag", "Weakness").save(path)
     rows = knowledge.read_cwe_catalogue(t.spark, path, "4.1")
     names = F.array_join(F.transform("sections", lambda s: s["name"]), ",")
     return rows.select("external_id", "title", names.alias("sections"), F.sha2(F.get("sections", F.lit(0))["text"], 256).alias("description"))
@@ -288,8 +290,8 @@ def export_case_csv(t: Tables):
     return evaluation_sink.export_case_csv(verdicts(t)).drop("split")
 
 
-@query("export_evaluation", """SELECT category, cwe, has_rule, tp, fp, tn, fn, round_even(recall, 4) AS recall, round_even(false_positive_rate, 4) AS false_positive_rate, round_even(precision, 4) AS precision,
- round_even(accuracy, 4) AS accuracy, round_even(f1, 4) AS f1, round_even(score, 4) AS score FROM v_rates""")
+@query("export_evaluation", f"""SELECT category, cwe, has_rule, tp, fp, tn, fn, {half_even('recall', 4)} AS recall, {half_even('false_positive_rate', 4)} AS false_positive_rate, {half_even('precision', 4)} AS precision,
+ {half_even('accuracy', 4)} AS accuracy, {half_even('f1', 4)} AS f1, {half_even('score', 4)} AS score FROM v_rates""")
 def export_evaluation(t: Tables):
     from riskweave.plans.q_evaluation import confusion
 

@@ -32,6 +32,13 @@ def case(column: str, table: dict, default: str = "NULL") -> str:
     return f"CASE {column} {arms} ELSE {default} END"
 
 
+def half_even(column: str, digits: int) -> str:
+    """Round half to even on the decimal value of a double, as ``bround`` does."""
+    scaled = f"(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 20)) * {10 ** digits})"
+    up = f"({scaled} - floor({scaled}) > 0.5 OR ({scaled} - floor({scaled}) = 0.5 AND floor({scaled}) % 2 = 1))"
+    return f"((floor({scaled}) + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / {10 ** digits}.0::DOUBLE)"
+
+
 NOW = f"TIMESTAMP '{adapters.NOW_TEXT}'"
 SEVERITY_RANK = case("{c}", {s: i for i, s in enumerate(dims.SEVERITIES)}, "5")
 PROGRAMMING = array(sorted(set(dims.LANGUAGE_BY_SUFFIX.values())))
@@ -76,8 +83,8 @@ def squash(text: str) -> str:
 
 
 AGE = (
-    f"round_even(1.0::DOUBLE + (least(greatest(0.0::DOUBLE, (epoch_us({NOW}) - epoch_us(created_at))::DOUBLE / 1000000.0::DOUBLE"
-    " / 86400.0::DOUBLE), 90.0::DOUBLE) / 90.0::DOUBLE) * 0.25::DOUBLE, 3)"
+    f"1.0::DOUBLE + (least(greatest(0.0::DOUBLE, (epoch_us({NOW}) - epoch_us(created_at))::DOUBLE / 1000000.0::DOUBLE"
+    " / 86400.0::DOUBLE), 90.0::DOUBLE) / 90.0::DOUBLE) * 0.25::DOUBLE"
 )
 
 _EVENTS = "SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events"
@@ -99,22 +106,23 @@ SELECT event_id AS id, user_id * 10 + k % 10 AS repository_id, user_id AS projec
  r.owasp_category
 FROM (SELECT *, {array(adapters.FINDING_RULES)}[k % 8 + 1] AS rule_id FROM ev) e JOIN rules r ON e.rule_id = r.rule_id) f""",
     "v_scored": f"""
+SELECT * EXCLUDE (product, age), {half_even('product', 1)} AS score FROM (
 SELECT *, CASE WHEN status = 'FIXED' THEN 0.0::DOUBLE ELSE base END AS base_f,
- round_even(least((CASE WHEN status = 'FIXED' THEN 0.0::DOUBLE ELSE base END) * confidence_f * path_f * age_f * regression_f, 100.0::DOUBLE), 1) AS score
-FROM (SELECT *, CAST({case('severity', POLICY.severity_base, '0')} AS DOUBLE) AS base,
+ least((CASE WHEN status = 'FIXED' THEN 0.0::DOUBLE ELSE base END) * confidence_f * path_f * age_f * regression_f, 100.0::DOUBLE) AS product
+FROM (SELECT *, {half_even('age', 3)} AS age_f FROM (SELECT *, CAST({case('severity', POLICY.severity_base, '0')} AS DOUBLE) AS base,
  CAST({case('confidence', POLICY.confidence, '1')} AS DOUBLE) AS confidence_f,
- CAST({path_factor('rule_id', 'file_path')} AS DOUBLE) AS path_f, {AGE} AS age_f,
+ CAST({path_factor('rule_id', 'file_path')} AS DOUBLE) AS path_f, {AGE} AS age,
  CASE WHEN status = 'NEW' AND is_regression THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS regression_f,
  {severity_rank('severity')} AS severity_rank
-FROM v_findings)""",
+FROM v_findings)))""",
     "v_risk": f"""
-SELECT *, {grade('score')} AS grade, 2 AS policy_version FROM (
-SELECT repository_id, round_even(least(coalesce(sum(CASE WHEN score > 0 THEN score * pow(0.6::DOUBLE, rn - 1) END), 0.0), 100.0::DOUBLE), 1) AS score,
+SELECT *, {grade('score')} AS grade, 2 AS policy_version FROM (SELECT *, {half_even('decayed', 1)} AS score FROM (
+SELECT repository_id, least(coalesce(sum(CASE WHEN score > 0 THEN score * pow(0.6::DOUBLE, rn - 1) END), 0.0), 100.0::DOUBLE) AS decayed,
  count(*) FILTER (WHERE score > 0) AS finding_count,
  {', '.join(f"count(*) FILTER (WHERE status <> 'FIXED' AND severity = '{s}') AS {s.lower()}" for s in dims.SEVERITIES)},
  count(*) FILTER (WHERE status <> 'FIXED') AS open, count(*) FILTER (WHERE status = 'FIXED') AS fixed
 FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY score DESC, id) AS rn FROM v_scored)
-GROUP BY repository_id)""",
+GROUP BY repository_id))""",
     "v_repositories": """
 SELECT id, project_id, CASE WHEN id % 5 = 0 THEN 'FAILED' ELSE 'READY' END AS status,
  CASE WHEN id % 7 <> 0 THEN 'w/' || id END AS workspace_path,
@@ -256,8 +264,10 @@ SELECT * FROM reach""",
 }
 
 
-def sql(body: str, recursive: bool = False) -> str:
+def sql(body: str) -> str:
     """``body`` with the CTEs of every view it names, directly or through other views."""
+    if body.strip().upper().startswith("WITH "):
+        body = f"SELECT * FROM ({body.strip()})"
     wanted: list[str] = []
 
     def visit(text: str) -> None:

@@ -37,7 +37,7 @@ def key_version(lines: DataFrame) -> DataFrame:
 
 def parse_answer_key(lines: DataFrame) -> DataFrame:
     """``cases(line_no, name, category, vulnerable, cwe, reason)``; ``reason`` is NULL when usable."""
-    fields = F.transform(F.split("line", ","), F.trim)
+    fields = F.transform(F.split("line", ","), lambda x: F.trim(x))
     rows = lines.filter((F.regexp_replace("line", "[,\\s]", "") != "") & ~F.ltrim("line").startswith("#"))
     rows = rows.select(
         "line_no",

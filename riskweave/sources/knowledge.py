@@ -41,6 +41,11 @@ def _section(name: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), value.alias("text"))
 
 
+def _inner_text(value: Column) -> Column:
+    """Catalogue prose without the markup inside it."""
+    return F.regexp_replace(value, r"</?[A-Za-z][\w:.-]*(?:\s[^<>]*)?>", " ")
+
+
 def _joined(values: Column, by: str) -> Column:
     return F.coalesce(F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), by), F.lit(""))
 
@@ -82,16 +87,16 @@ def read_cwe_catalogue(spark: SparkSession, path: str, version: str | None = Non
 
     def consequence(item: Column) -> Column:
         heads = F.array(_joined(item["Scope"], ", "), _joined(item["Impact"], ", "))
-        return _joined(F.array(_joined(heads, " / "), _joined(item["Note"], " ")), " ")
+        return _joined(F.array(_joined(heads, " / "), _inner_text(_joined(item["Note"], " "))), " ")
 
     def mitigation(item: Column) -> Column:
         label = _joined(F.array(_joined(item["Phase"], ", "), item["Strategy"]), " — ")
-        body = F.coalesce(item["Description"], F.lit(""))
+        body = _inner_text(F.coalesce(item["Description"], F.lit("")))
         return F.when(label == "", body).when(body == "", label).otherwise(F.concat(label, F.lit(": "), body))
 
     sections = non_empty_sections(
         F.array(
-            _section("Description", _joined(F.array("Description", "Extended_Description"), " ")),
+            _section("Description", _inner_text(_joined(F.array("Description", "Extended_Description"), " "))),
             _section("Applicable platforms", _joined(names, ", ")),
             _section(
                 "Consequences", _joined(F.transform("Common_Consequences.Consequence", consequence), "\n\n")
