@@ -18,7 +18,7 @@ from riskweave.operators import secrets
 MARK = secrets.MARK
 
 
-def _near_secret(lines: Column) -> Column:
+def near_secret_lines(lines: Column) -> Column:
     """For each line: does it, or one of the next five, hold a secret word?"""
     return F.transform(
         lines,
@@ -71,7 +71,7 @@ def _units(files: DataFrame) -> DataFrame:
     )
     lines = lines.withColumn(
         "cleaned", F.transform("lines", lambda x: text.strip(text.strip_line_comment(x)))
-    ).withColumn("near", F.when(F.col("random"), _near_secret(F.col("lines"))))
+    ).withColumn("near", F.when(F.col("random"), near_secret_lines(F.col("lines"))))
     spans = F.when(ext.isin(*dims.WRAPPED_STATEMENT_SUFFIXES), statement_spans(F.col("cleaned")))
     lines = lines.withColumn("spans", spans)
 

@@ -19,53 +19,61 @@ def _number(line: Column, group: int, default: int | None = None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def raw_lines(diffs: DataFrame) -> DataFrame:
-    """``(patch_id, file_path, seq, line)``: line endings dropped, blank lines at the end dropped."""
-    trimmed = F.regexp_replace(F.col("diff"), r"[\r\n]+$", "")
-    parts = F.transform(F.split(trimmed, "\n"), lambda x: F.regexp_replace(x, "\r+$", ""))
-    return diffs.select("patch_id", "file_path", F.posexplode(parts).alias("seq", "line"))
+def _split(diff: Column) -> Column:
+    """Lines of a diff: line endings dropped, blank lines at the end dropped."""
+    trimmed = F.regexp_replace(diff, r"[\r\n]+$", "")
+    return F.transform(F.split(trimmed, "\n"), lambda x: F.regexp_replace(x, "\r+$", ""))
 
 
-def _hunk_rows(diffs: DataFrame) -> DataFrame:
-    """Body lines with the hunk they follow and what each consumes on either side."""
-    # One proposed fix is one file's diff: its lines are a bounded window.
+def _with_heads(diffs: DataFrame) -> DataFrame:
+    """``(patch_id, file_path, parts, head)``: ``head`` says what is wrong with the first lines."""
+    parts = _split(F.col("diff"))
+    rows = diffs.select("patch_id", "file_path", parts.alias("parts"))
+    old, new, third = (F.get("parts", F.lit(i)) for i in range(3))
+
+    def named(line: Column, marker: str) -> Column:
+        shown = F.trim(F.get(F.split(F.substring(line, 5, 1_000_000), "\t"), F.lit(0)))
+        return shown == F.concat(F.lit(marker), F.col("file_path"))
+
+    head = (
+        F.when(F.size("parts") < 3, "empty")
+        .when(~old.startswith("--- ") | ~new.startswith("+++ "), "not a unified diff")
+        .when(~named(old, "a/") | ~named(new, "b/"), "names a different file")
+        .when(~third.rlike(HUNK), "no hunk header")
+    )
+    return rows.withColumn("head", head)
+
+
+def _parsed(diffs: DataFrame) -> DataFrame:
+    """Body lines with their hunk, what each consumes, and the patch's ``reason`` if it is malformed.
+
+    Headers are judged before anything is exploded; everything else is windows within one patch,
+    all on one shuffle.  A patch is the diff of one file, so its lines are a bounded group.
+    """
+    rows = _with_heads(diffs).filter("head is null").select(
+        "patch_id", "file_path", F.posexplode("parts").alias("seq", "line")
+    ).filter("seq >= 2").withColumn("is_header", F.col("line").rlike(HUNK))
     order = Window.partitionBy("patch_id").orderBy("seq")
-    rows = raw_lines(diffs).filter("seq >= 2").withColumn("is_header", F.col("line").rlike(HUNK))
-    # A body line can look like a header only if it starts with "@@", which no body line does.
-    rows = rows.withColumn("hunk", F.sum(F.col("is_header").cast("int")).over(order))
-    return rows.withColumn(
+    rows = rows.withColumn("hunk", F.sum(F.col("is_header").cast("int")).over(order)).withColumn(
         "kind",
         F.when(F.col("is_header"), "@").when(F.col("line").startswith("\\"), "\\")
         .when(F.col("line") == "", " ").otherwise(F.substring("line", 1, 1)),
     )
+    hunk = Window.partitionBy("patch_id", "hunk")
+    inside = hunk.orderBy("seq")
 
+    def header(group: int, default: int | None = None) -> Column:
+        return F.max(F.when(F.col("is_header"), _number(F.col("line"), group, default))).over(hunk)
 
-def diff_problems(diffs: DataFrame) -> DataFrame:
-    """``(patch_id, reason)`` for every diff that is not one well-formed single-file diff."""
-    heads = raw_lines(diffs).groupBy("patch_id", "file_path").agg(
-        F.count("*").alias("lines"),
-        F.max(F.when(F.col("seq") == 0, F.col("line"))).alias("old"),
-        F.max(F.when(F.col("seq") == 1, F.col("line"))).alias("new"),
-        F.max(F.when(F.col("seq") == 2, F.col("line"))).alias("third"),
-    )
-    def named(line: str, marker: str) -> Column:
-        return F.trim(F.element_at(F.split(F.substring(F.col(line), 5, 1_000_000), "\t"), 1)) == F.concat(
-            F.lit(marker), F.col("file_path")
-        )
+    def consumed(window, *kinds: str) -> Column:
+        return F.sum(F.col("kind").isin(*kinds).cast("int")).over(window)
 
-    head = (
-        F.when(F.col("lines") < 3, "empty")
-        .when(~F.col("old").startswith("--- ") | ~F.col("new").startswith("+++ "), "not a unified diff")
-        .when(~named("old", "a/") | ~named("new", "b/"), "names a different file")
-        .when(~F.col("third").rlike(HUNK), "no hunk header")
-    )
-    bad_head = heads.select("patch_id", head.alias("reason")).filter("reason is not null")
-    per_hunk = _hunk_rows(diffs).filter("hunk > 0").groupBy("patch_id", "hunk").agg(
-        F.max(F.when(F.col("is_header"), _number(F.col("line"), 2, 1))).alias("old_count"),
-        F.max(F.when(F.col("is_header"), _number(F.col("line"), 4, 1))).alias("new_count"),
-        F.count_if(F.col("kind").isin(" ", "-")).alias("old_seen"),
-        F.count_if(F.col("kind").isin(" ", "+")).alias("new_seen"),
-        F.count_if(~F.col("kind").isin("@", " ", "-", "+", "\\")).alias("strange"),
+    rows = rows.select(
+        "*", header(1).alias("start_old"), header(2, 1).alias("old_count"), header(3).alias("start_new"),
+        header(4, 1).alias("new_count"), consumed(inside, " ", "-").alias("olds"),
+        consumed(inside, " ", "+").alias("news"), consumed(hunk, " ", "-").alias("old_seen"),
+        consumed(hunk, " ", "+").alias("new_seen"),
+        F.sum((~F.col("kind").isin("@", " ", "-", "+", "\\")).cast("int")).over(hunk).alias("strange"),
     )
     body = (
         F.when(F.col("strange") > 0, "has a line that is not part of a diff")
@@ -75,31 +83,22 @@ def diff_problems(diffs: DataFrame) -> DataFrame:
             "does not match its own line counts",
         )
     )
-    bad_body = per_hunk.select("patch_id", "hunk", body.alias("reason")).filter("reason is not null").groupBy(
-        "patch_id"
-    ).agg(F.min_by("reason", "hunk").alias("reason"))
-    return bad_head.unionByName(bad_body.join(bad_head, "patch_id", "left_anti"))
+    found = F.min(F.when(body.isNotNull(), F.struct(F.col("hunk").alias("h"), body.alias("r")))).over(
+        Window.partitionBy("patch_id")
+    )
+    return rows.withColumn("reason", found["r"])
+
+
+def diff_problems(diffs: DataFrame) -> DataFrame:
+    """``(patch_id, reason)`` for every diff that is not one well-formed single-file diff."""
+    heads = _with_heads(diffs).filter("head is not null").select("patch_id", F.col("head").alias("reason"))
+    bodies = _parsed(diffs).filter("reason is not null").groupBy("patch_id").agg(F.first("reason").alias("reason"))
+    return heads.unionByName(bodies)
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """``(patch_id, file_path, hunk, seq, kind, old_line, new_line, text)`` of well-formed diffs."""
-    good = diffs.join(diff_problems(diffs).select("patch_id"), "patch_id", "left_anti")
-    rows = _hunk_rows(good)
-    inside = Window.partitionBy("patch_id", "hunk").orderBy("seq")
-    start_old = F.max(F.when(F.col("is_header"), _number(F.col("line"), 1))).over(
-        Window.partitionBy("patch_id", "hunk")
-    )
-    start_new = F.max(F.when(F.col("is_header"), _number(F.col("line"), 3))).over(
-        Window.partitionBy("patch_id", "hunk")
-    )
-    none_old = F.max(F.when(F.col("is_header"), _number(F.col("line"), 2, 1))).over(
-        Window.partitionBy("patch_id", "hunk")
-    )
-    rows = rows.select(
-        "*", start_old.alias("start_old"), start_new.alias("start_new"), none_old.alias("old_count"),
-        F.sum(F.col("kind").isin(" ", "-").cast("int")).over(inside).alias("olds"),
-        F.sum(F.col("kind").isin(" ", "+").cast("int")).over(inside).alias("news"),
-    ).filter(F.col("kind").isin(" ", "-", "+"))
+    rows = _parsed(diffs).filter(F.col("reason").isNull() & F.col("kind").isin(" ", "-", "+"))
     # "-12,0" names the line after which to add.
     base = F.when(F.col("old_count") == 0, F.col("start_old") + 1).otherwise(F.col("start_old"))
     return rows.select(
@@ -120,33 +119,33 @@ def diff_stats(lines: DataFrame) -> DataFrame:
     ).withColumn("net", F.col("added") - F.col("removed"))
 
 
-def misfits(originals: DataFrame, lines: DataFrame) -> DataFrame:
-    """Patches whose context or removed lines are not what the file holds at that place."""
-    held = lines.filter("kind <> '+'").join(
-        originals.select("patch_id", F.col("line_no").alias("old_line"), F.col("line").alias("held")),
-        ["patch_id", "old_line"], "left",
-    )
-    return held.filter(~F.col("held").eqNullSafe(F.col("text"))).select("patch_id").distinct()
-
-
 def apply_hunks(originals: DataFrame, lines: DataFrame) -> DataFrame:
     """``(patch_id, line_no, line)`` of every patched file; patches that do not fit are left out.
 
-    ``originals(patch_id, line_no, line)`` are the lines of the file each patch is for.
+    ``originals(patch_id, line_no, line)`` are the lines of the file each patch is for.  One join
+    lays the diff on the file; whether all of it fits is then a flag over the patch.
     """
-    wrong = misfits(originals, lines)
-    fits = lines.join(wrong, "patch_id", "left_anti")
-    touched = fits.select("patch_id").distinct()
-    removed = fits.filter("kind = '-'").select("patch_id", F.col("old_line").alias("line_no"))
-    kept = originals.join(touched, "patch_id", "left_semi").join(
-        removed, ["patch_id", "line_no"], "left_anti"
-    ).select("patch_id", F.col("line_no").alias("at"), F.lit(1).alias("part"), F.lit(0).alias("seq"), "line")
-    added = fits.filter("kind = '+'").select(
-        "patch_id", F.col("before_old_line").alias("at"), F.lit(0).alias("part"), "seq",
-        F.col("text").alias("line"),
+    old_side = lines.filter("kind <> '+'").select(
+        "patch_id", F.col("old_line").cast("int").alias("line_no"), "kind", "text"
+    )
+    laid = originals.select("patch_id", F.col("line_no").cast("int").alias("line_no"), "line").join(
+        old_side, ["patch_id", "line_no"], "full_outer"
+    )
+    from_file = laid.select(
+        "patch_id", F.col("line_no").alias("at"), F.lit(1).alias("part"), F.lit(0).alias("seq"), "line", "kind",
+        (F.col("kind").isNotNull() & ~F.col("line").eqNullSafe(F.col("text"))).alias("wrong"),
+    )
+    added = lines.filter("kind = '+'").select(
+        "patch_id", F.col("before_old_line").cast("int").alias("at"), F.lit(0).alias("part"), "seq",
+        F.col("text").alias("line"), "kind", F.lit(False).alias("wrong"),
+    )
+    patch = Window.partitionBy("patch_id")
+    every = from_file.unionByName(added).select(
+        "*", F.max("wrong").over(patch).alias("misfit"), F.max(F.col("kind").isNotNull()).over(patch).alias("touched")
     )
+    kept = every.filter("touched and not misfit and not (kind <=> '-')")
     order = Window.partitionBy("patch_id").orderBy("at", "part", "seq")
-    return kept.unionByName(added).select("patch_id", F.row_number().over(order).alias("line_no"), "line")
+    return kept.select("patch_id", F.row_number().over(order).alias("line_no"), "line")
 
 
 def patch_screen(diffs: DataFrame, lines: DataFrame, replaced: DataFrame) -> DataFrame:

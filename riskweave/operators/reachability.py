@@ -196,7 +196,13 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         var("name").alias("src"), var("target").alias("dst"), _strings([]).alias("safe_for"),
         "qualified", "line", F.lit(False).alias("replaces_quote"),
     )
-    kept, looked_up = taint_cut_edges(taint_sanitise_edges(moved))
+    # A read assigned through a call passes that call, like a variable would.
+    read_into = F.concat(var("target"), F.lit("|read"))
+    read_moved = assigns.filter("size(reads) > 0").select(
+        read_into.alias("src"), var("target").alias("dst"), _strings([]).alias("safe_for"), "qualified", "line",
+        F.lit(False).alias("replaces_quote"),
+    )
+    kept, looked_up = taint_cut_edges(taint_sanitise_edges(moved.unionByName(read_moved)))
 
     used = facts.filter("fact in ('call', 'return', 'store')").withColumn(
         "names", F.array_union("names", more("#rest"))
@@ -233,7 +239,7 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.substring_index("called", ".", -1).alias("part"), none.alias("annotation"), "line",
     )
     sources = taint_sources(
-        reads_of(assigns.filter(carries), var("target")).unionByName(reads_of(used, read_here))
+        reads_of(assigns.filter(carries), read_into).unionByName(reads_of(used, read_here))
         .unionByName(routes).unionByName(chance)
     )
 

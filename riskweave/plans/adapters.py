@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskweave import dims
 from riskweave.functions import paths
 from riskweave.plans.snippets import SNIPPETS
+from riskweave.session import spread_small
 
 NOW_TEXT = "2024-02-15 00:00:00"
 EVENT_SEVERITY = {"error": "CRITICAL", "purchase": "HIGH", "signup": "MEDIUM", "click": "LOW", "view": "INFO"}
@@ -173,7 +174,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread_small(self.read("documents"))
 
     @cached_property
     def files(self) -> DataFrame:

@@ -86,7 +86,7 @@ def join_wrapped_statements(t: Tables):
 @query("secret_context_window", """SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, max(has) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS near
  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, regexp_matches(lower(unnest(string_split(text, chr(10)))), 'token|password|passwd|secret|otp|nonce|session|cookie|csrf|salt|key') AS has FROM documents)""")
 def secret_context_window(t: Tables):
-    near = detect._near_secret(F.col("lines"))
+    near = detect.near_secret_lines(F.col("lines"))
     rows = t.documents.select("doc_id", F.split("text", "\n").alias("lines"))
     return rows.select("doc_id", F.posexplode(near).alias("pos", "near")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "near")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "riskweave", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,3 +34,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-checkpoint-"))
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Spread a table that arrives in no more pieces than there are cores.
+
+    A file with one row group is read by one task however many cores there are; work per row that
+    is heavy (rules, parsing, packing) then runs on one core.  A table of many files has more
+    pieces than cores and is returned as it is, so nothing large is ever shuffled for this.  Only
+    for plain scans.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores else scan

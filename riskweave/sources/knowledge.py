@@ -146,7 +146,7 @@ def parse_owasp_markdown(documents: DataFrame) -> DataFrame:
 
 
 def read_owasp_markdown(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     name = F.regexp_replace(paths.file_name(F.col("_metadata.file_path")), r"\.md$", "")
     return parse_owasp_markdown(raw.select(name.alias("name"), F.col("value").alias("text")))
 
