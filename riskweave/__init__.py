@@ -4,4 +4,12 @@ Everything here is a function over DataFrames.  Nothing collects a table, and no
 database: tables come in as DataFrames and go out as DataFrames.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel with the job, so executors need no
+# installation of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -66,7 +66,7 @@ ANALYZER = "python-ast"
 
 
 def _is(name: str, *values: str) -> Column:
-    return F.coalesce(F.col(name).isin(*values), F.lit(False))
+    return F.coalesce(text.one_of(F.col(name), values), F.lit(False))
 
 
 def _kw(name: str) -> Column:

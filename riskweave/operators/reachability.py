@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import dims
-from riskweave.session import ensure_checkpoint_dir
+from riskweave.functions.text import one_of
+from riskweave.session import materialise
 
 KEY = ["id", "kind", "origin"]
 
@@ -98,12 +99,12 @@ def taint_sources(reads: DataFrame) -> DataFrame:
     """
     what, part = F.col("what"), F.col("part")
     origin = (
-        F.when((what == "request") & part.isin(*REQUEST_NOT_INPUT), dims.OPAQUE)
+        F.when((what == "request") & one_of(part, REQUEST_NOT_INPUT), dims.OPAQUE)
         .when(what == "request", dims.INPUT)
-        .when((what == "parameter") & ~F.coalesce("annotation", F.lit("")).isin(*NOT_TEXT), dims.INPUT)
-        .when((what == "random") & part.isin(*RANDOM_FUNCTIONS), dims.RANDOM)
+        .when((what == "parameter") & ~one_of(F.coalesce("annotation", F.lit("")), NOT_TEXT), dims.INPUT)
+        .when((what == "random") & one_of(part, RANDOM_FUNCTIONS), dims.RANDOM)
     )
-    safe = F.when((what == "request") & part.isin(*REQUEST_SAME_SITE), _strings(["redirect"])).otherwise(
+    safe = F.when((what == "request") & one_of(part, REQUEST_SAME_SITE), _strings(["redirect"])).otherwise(
         _strings([])
     )
     return reads.withColumn("origin", origin).filter("origin is not null").select(
@@ -118,7 +119,7 @@ def taint_sanitise_edges(edges: DataFrame) -> DataFrame:
     table = table.groupBy("qualified").agg(F.array_sort(F.collect_set("kind")).alias("cleared"))
     joined = edges.join(F.broadcast(table), "qualified", "left")
     tail = F.element_at(F.split(F.coalesce("qualified", F.lit("")), "[.]"), -1)
-    named = F.when(tail.isin(*HTML_ESCAPE_NAMES), _strings(["html"])).otherwise(_strings([]))
+    named = F.when(one_of(tail, HTML_ESCAPE_NAMES), _strings(["html"])).otherwise(_strings([]))
     quoted = F.when(F.coalesce("replaces_quote", F.lit(False)), _strings(["xpath"])).otherwise(_strings([]))
     safe = F.array_union(
         F.array_union(F.col("safe_for"), F.coalesce("cleared", _strings([]))), F.array_union(named, quoted)
@@ -127,13 +128,13 @@ def taint_sanitise_edges(edges: DataFrame) -> DataFrame:
 
 
 def is_numeric_call() -> Column:
-    return F.coalesce(F.col("qualified").isin(*NUMERIC_FUNCTIONS), F.lit(False))
+    return F.coalesce(one_of(F.col("qualified"), NUMERIC_FUNCTIONS), F.lit(False))
 
 
 def is_lookup_call() -> Column:
     tail = F.element_at(F.split(F.coalesce("qualified", F.lit("")), "[.]"), -1)
-    method = F.coalesce(F.col("qualified").contains("."), F.lit(False)) & tail.isin(*LOOKUP_METHODS)
-    return F.coalesce(F.col("qualified").isin(*LOOKUP_CALLS), F.lit(False)) | method
+    method = F.coalesce(F.col("qualified").contains("."), F.lit(False)) & one_of(tail, LOOKUP_METHODS)
+    return F.coalesce(one_of(F.col("qualified"), LOOKUP_CALLS), F.lit(False)) | method
 
 
 def taint_cut_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,14 +182,14 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def more(key: str) -> Column:
         listed = F.filter(F.split(F.coalesce(F.col("kwargs")[key], F.lit("")), ","), lambda x: x != "")
-        return F.when(F.col("tail").isin(*LDAP_METHODS), listed).otherwise(_strings([]))
+        return F.when(one_of(F.col("tail"), LDAP_METHODS), listed).otherwise(_strings([]))
 
     understood = [*PURE_CALLS, *NUMERIC_FUNCTIONS, *LOOKUP_CALLS, *[name for name, _ in SANITISERS]]
 
     def unknown_call() -> Column:
         return F.exists(
             "calls",
-            lambda c: ~c.isin(*understood) & ~c.startswith("random.") & ~c.rlike(READ_METHODS),
+            lambda c: ~one_of(c, understood) & ~c.startswith("random.") & ~c.rlike(READ_METHODS),
         )
 
     assigns = facts.filter("fact = 'assign'")
@@ -276,8 +277,7 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def parsed_once(facts: DataFrame) -> DataFrame:
     """Facts written to the shared folder: the graph and the rules read them many times."""
-    ensure_checkpoint_dir(facts.sparkSession)
-    return facts.checkpoint()
+    return materialise(facts)
 
 
 def python_levels(facts: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -286,8 +286,8 @@ def python_levels(facts: DataFrame, max_rounds: int = 64) -> DataFrame:
     ``facts`` should come from ``parsed_once``.
     """
     nodes, edges, sinks = flow_tables(facts)
-    state = propagate(nodes, edges, max_rounds=max_rounds)
-    sinks = sinks.checkpoint()
+    state = materialise(propagate(nodes, edges, max_rounds=max_rounds))
+    sinks = materialise(sinks)
     wanted = sinks.filter("kind <> 'random'")
     levels = classify(state, wanted).join(
         wanted.select("id", "kind", "repository_id", "path", "line"), ["id", "kind"]
@@ -312,17 +312,19 @@ def propagate(
 ) -> DataFrame:
     """``state(id, kind, origin, source)``: the least source of each origin that reaches a node.
 
-    Semi-naive: each round moves only what improved in the last one.  Rounds are checkpointed to
-    the shared folder, so a lost executor repeats one round, not all of them.
+    Semi-naive: each round moves only what improved in the last one, against all that is known
+    already.  Every round is written to the shared folder, so a lost executor repeats one round,
+    not all of them; what is known is the union of those tables and is never written again.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
     # Read by every round: written once, in the form the rounds join on.
-    steps = edges.select("src", "dst", "safe_for").filter("src is not null and dst is not null").checkpoint()
+    steps = materialise(
+        edges.select("src", "dst", "safe_for").filter("src is not null and dst is not null")
+    )
     start = nodes.select(
         "id", "origin", F.col("line").cast("bigint").alias("source"), "safe_for",
         F.explode(_strings(kinds)).alias("kind"),
     ).filter(~F.array_contains("safe_for", F.col("kind")))
-    frontier = start.groupBy(*KEY).agg(F.min("source").alias("source")).checkpoint()
+    frontier = materialise(start.groupBy(*KEY).agg(F.min("source").alias("source")))
     seen = frontier
     for _ in range(max_rounds):
         moved = (
@@ -331,12 +333,14 @@ def propagate(
             .groupBy(F.col("dst").alias("id"), "kind", "origin")
             .agg(F.min("source").alias("source"))
         )
-        known = seen.select(*KEY, F.col("source").alias("known"))
-        better = moved.join(known, KEY, "left").filter("known is null or source < known").select(*KEY, "source")
-        frontier = better.checkpoint()
+        m, s = moved.alias("m"), seen.alias("s")
+        known = F.col("s.source") <= F.col("m.source")
+        for key in KEY:
+            known = known & (F.col(f"m.{key}") == F.col(f"s.{key}"))
+        frontier = materialise(m.join(s, known, "left_anti").select(*KEY, "source"))
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier).groupBy(*KEY).agg(F.min("source").alias("source")).checkpoint()
+            return seen.groupBy(*KEY).agg(F.min("source").alias("source"))
+        seen = seen.unionByName(frontier)
     raise ValueError(f"data still moves after {max_rounds} rounds: raise max_rounds")
 
 

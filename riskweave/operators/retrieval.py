@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskweave import dims
 from riskweave.functions.vectors import is_readable, normalise
-from riskweave.session import ensure_checkpoint_dir
+from riskweave.session import materialise
 
 QUERY_BLOCK = 256
 PASSAGE_BLOCK = 1024
@@ -201,8 +201,7 @@ def semantic_top_up(
     all selected already, so what must be left out is fewer than ``k`` rows of it.
     """
     # Read three times below; ranking it once is cheaper than thrice.
-    ensure_checkpoint_dir(selected.sparkSession)
-    selected = selected.checkpoint()
+    selected = materialise(selected)
     have = selected.groupBy("query_id").agg(F.count("*").alias("have"))
     short = queries.join(have, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(
         F.col("have") < k
@@ -226,10 +225,10 @@ def retrieve(
     queries: DataFrame, chunks: DataFrame, k: int = dims.RETRIEVAL_LIMIT, threshold: float = dims.MIN_SIMILARITY
 ) -> DataFrame:
     """The whole retrieval: candidates, ranking, the remediation slot, the top-up."""
-    ensure_checkpoint_dir(queries.sparkSession)
     selected = reserve_remediation_slot(rank_passages(queries, chunks, k), k).select(
         "query_id", "chunk_id", "section", "tier", "score", "rank"
-    ).checkpoint()
+    )
+    selected = materialise(selected)
     more = semantic_top_up(queries, chunks, selected, k, threshold)
     names = {v: n for n, v in dims.MATCH_PRIORITY.items()}
     tier = F.col("tier")

@@ -243,7 +243,7 @@ SARIF_SQL = f"""SELECT s.repository_id, s.id, s.rule_id, x.rule_index, CASE WHEN
 @query("export_sarif", f"SELECT repository_id, rule_id, rule_index, level, start_line, fingerprint, baseline_state, score, fix_state FROM ({SARIF_SQL})")
 def export_sarif(t: Tables):
     """The written log, read back: every result line is parsed as JSON again."""
-    rows, rules = made_report(t), aggregates.report_rules(made_report(t))
+    rows, rules = made_report(t), aggregates.report_rules(risk.score_findings(t.findings, now()))
     header = t.repositories.select(F.col("id").alias("repository_id"), "origin", "branch", "commit_hash", "truncated")
     known = t.findings.filter("id % 3 <> 0").select("fingerprint")
     document = sarif.export_sarif(rows, rules, made_risk(t), header, known)
@@ -272,7 +272,7 @@ def export_report_json(t: Tables):
  '- Fix: ' || fix_state AS fix FROM v_fix WHERE status <> 'FIXED'""")
 def export_report_text(t: Tables):
     rows = made_report(t).withColumn("fix_label", F.col("fix_state"))
-    lines = reports.export_markdown(rows, made_risk(t), aggregates.report_rules(rows)).filter("section = 3")
+    lines = reports.export_markdown(rows, made_risk(t), aggregates.report_rules(risk.score_findings(t.findings, now()))).filter("section = 3")
     return lines.select(
         "repository_id", F.regexp_extract("line", r"^([^\n]*)", 1).alias("heading"), F.regexp_extract("line", r"\n(- Fix: [^\n]*)", 1).alias("fix")
     )
@@ -281,7 +281,7 @@ def export_report_text(t: Tables):
 @query("export_report_html", f"""SELECT repository_id, row_number() OVER (PARTITION BY repository_id ORDER BY score DESC, severity_rank, file_path, line_start, id) || '. ' || severity AS heading FROM v_fix WHERE status <> 'FIXED'""")
 def export_report_html(t: Tables):
     rows = made_report(t)
-    lines = reports.export_html(rows, made_risk(t), aggregates.report_rules(rows)).filter("section = 3")
+    lines = reports.export_html(rows, made_risk(t), aggregates.report_rules(risk.score_findings(t.findings, now()))).filter("section = 3")
     return lines.select("repository_id", F.regexp_extract("line", "<h3>([^:]*):", 1).alias("heading"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-checkpoint-"))
 
 
+def materialise(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder once and read it back: lineage ends, nothing is redone.
+
+    ``checkpoint()`` runs its last stage twice, which matters when that stage parses or scores.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/riskweave-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def spread_small(scan: DataFrame) -> DataFrame:
     """Spread a table that arrives in no more pieces than there are cores.
 
