@@ -37,15 +37,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-checkpoint-"))
 
 
-def materialise(frame: DataFrame) -> DataFrame:
+def materialise(frame: DataFrame, **options: str) -> DataFrame:
     """Write a frame to the shared folder once and read it back: lineage ends, nothing is redone.
 
-    ``checkpoint()`` runs its last stage twice, which matters when that stage parses or scores.
+    ``options`` go to the writer.  ``checkpoint()`` runs its last stage twice, which matters when that stage parses or scores.
     """
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/riskweave-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
