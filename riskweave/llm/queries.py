@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import language_id, quality_ledger, url_filters
+from riskweave.llm import language_id, mixing_flow, packing_mbs, quality_fm, quality_ledger, url_filters
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,11 +21,25 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_id(_read(spark, folder, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_fm.quality_classifier(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_ledger.quality_ledger(_read(spark, folder, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing_flow.mixing(_read(spark, folder, "documents"))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_mbs.packing(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_language_id, op7_quality_rules)
+    f.__name__: f for f in (
+        op1_url_filters, op2_language_id, op3_quality_classifier, op7_quality_rules, op8_source_mixing, op10_packing,
+    )
 }
 SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op7_quality_rules": quality_ledger.SQL}
