@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import language_id, mixing_flow, packing_mbs, quality_fm, quality_ledger, url_filters
+from riskweave.llm import block_knn, chat_snapshots, language_id, mixing_flow, packing_mbs, quality_fm, quality_ledger, url_filters
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_fm.quality_classifier(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_snapshots.chat_documents(_read(spark, folder, "conversations"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return block_knn.nearest(_read(spark, folder, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_ledger.quality_ledger(_read(spark, folder, "documents"))
 
@@ -39,7 +47,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_url_filters, op2_language_id, op3_quality_classifier, op7_quality_rules, op8_source_mixing, op10_packing,
+        op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
+        op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op10_packing,
     )
 }
-SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op7_quality_rules": quality_ledger.SQL}
+SQL: dict[str, str] = {
+    "op1_url_filters": url_filters.SQL,
+    "op4_chat_formatting": chat_snapshots.SQL,
+    "op6_nearest_neighbours": block_knn.SQL,
+    "op7_quality_rules": quality_ledger.SQL,
+}
