@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import block_knn, chat_snapshots, language_id, mixing_flow, packing_mbs, quality_fm, quality_ledger, url_filters
+from riskweave.llm import bbit_minhash, block_knn, chat_snapshots, language_id, mixing_flow, packing_mbs, quality_fm, quality_ledger, url_filters
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing_flow.mixing(_read(spark, folder, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return bbit_minhash.near_dedup(_read(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_mbs.packing(_read(spark, folder, "documents"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
-        op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op10_packing,
+        op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
     )
 }
 SQL: dict[str, str] = {
@@ -56,4 +60,5 @@ SQL: dict[str, str] = {
     "op4_chat_formatting": chat_snapshots.SQL,
     "op6_nearest_neighbours": block_knn.SQL,
     "op7_quality_rules": quality_ledger.SQL,
+    "op9_near_dedup": bbit_minhash.SQL,
 }
