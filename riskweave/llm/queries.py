@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import bbit_minhash, block_knn, chat_snapshots, language_id, mixing_flow, packing_mbs, quality_fm, quality_ledger, url_filters
+from riskweave.llm import bbit_minhash, block_knn, chat_snapshots, language_id, mixing_flow, ngram_trie, packing_mbs, quality_fm, quality_ledger, url_filters
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat_snapshots.chat_documents(_read(spark, folder, "conversations"))
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_trie.score(_read(spark, folder, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return block_knn.nearest(_read(spark, folder, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
-        op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
+        op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
     )
 }
 SQL: dict[str, str] = {
