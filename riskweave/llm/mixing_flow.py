@@ -147,11 +147,15 @@ def _solve(group, patterns, quotas, uses, given) -> None:
         given[at][source] = arcs[number ^ 1][1]
 
 
+def pattern_of(members: Column) -> Column:
+    """The set of sources a document belongs to, sorted, as JSON."""
+    return F.to_json(F.array_sort(F.array_distinct(members)))
+
+
 def sized(documents: DataFrame, members: Column, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """``doc_id, size, pattern, hash`` of every document; ``pattern`` is the sorted set of sources as JSON."""
-    pattern = F.to_json(F.array_sort(F.array_distinct(members)))
     return documents.select(
-        F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), pattern.alias("pattern"),
+        F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), pattern_of(members).alias("pattern"),
         F.xxhash64(doc_id, F.lit(seed)).alias("hash"),
     )
 

@@ -53,10 +53,16 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_mbs.packing(_read(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
-        op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
+        op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing, pipeline,
     )
 }
 SQL: dict[str, str] = {
