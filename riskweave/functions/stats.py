@@ -71,14 +71,12 @@ def mcnemar_exact(only_first: Column, only_second: Column) -> Column:
     """Exact two-sided McNemar p-value; NULL when no case was judged differently.
 
     The tail is summed in log space relative to its largest term.  Terms fall off from the
-    largest one at least geometrically once they are 1e-18 of it, so the sum stops there: the
-    loop is bounded by a few standard deviations, not by the counts themselves.
+    largest one, and all of them are summed.
     """
     n = (only_first + only_second).cast("bigint")
     k = F.least(only_first, only_second).cast("bigint")
     log_top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * F.ln(F.lit(2.0))
-    width = F.least(k, F.ceil(F.sqrt(n.cast("double")) * 6 + 64)).cast("bigint")
-    steps = F.sequence(F.lit(0).cast("bigint"), width)
+    steps = F.sequence(F.lit(0).cast("bigint"), k)
 
     start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
 

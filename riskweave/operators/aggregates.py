@@ -152,8 +152,11 @@ def report_rules(findings: DataFrame, notes: DataFrame | None = None) -> DataFra
         severity_name(F.col("severity_rank")).alias("worst_severity"), "first.*",
     )
     if notes is not None:
-        kept = notes.select("rule_id", F.col("risk").alias("risk_note"), F.col("fix").alias("fix_note"))
-        return out.join(F.broadcast(kept), "rule_id", "left")
+        one = F.min(F.struct("risk", "fix")).alias("note")  # a rule with two notes gives one row all the same
+        kept = notes.groupBy("rule_id").agg(one).select(
+            "rule_id", F.col("note.risk").alias("risk_note"), F.col("note.fix").alias("fix_note")
+        )
+        return out.join(kept, "rule_id", "left")
     return out.withColumn("risk_note", F.lit(None).cast("string")).withColumn(
         "fix_note", F.lit(None).cast("string")
     )

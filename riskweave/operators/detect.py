@@ -82,7 +82,7 @@ def _units(files: DataFrame) -> DataFrame:
             F.array(raw).alias("raws"), F.slice("near", i + 1, 1).alias("near"),
             F.array(F.lit(0)).alias("starts"),
             F.when(
-                raw.contains(secrets.PEM_NEEDLE), F.slice("lines", i + 2, secrets.PEM_LOOK_AHEAD)
+                raw.contains(secrets.PEM_NEEDLE), F.slice("lines", i + 2, F.size("lines"))
             ).alias("after"),
         )
 

@@ -32,7 +32,7 @@ def _with_heads(diffs: DataFrame) -> DataFrame:
     old, new, third = (F.get("parts", F.lit(i)) for i in range(3))
 
     def named(line: Column, marker: str) -> Column:
-        shown = F.trim(F.get(F.split(F.substring(line, 5, 1_000_000), "\t"), F.lit(0)))
+        shown = F.trim(F.get(F.split(F.substr(line, F.lit(5)), "\t"), F.lit(0)))
         return shown == F.concat(F.lit(marker), F.col("file_path"))
 
     head = (
@@ -106,7 +106,7 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
         F.when(F.col("kind") != "+", base + F.col("olds") - 1).alias("old_line"),
         F.when(F.col("kind") != "-", F.col("start_new") + F.col("news") - 1).alias("new_line"),
         (base + F.col("olds")).alias("before_old_line"),
-        F.substring("line", 2, 1_000_000).alias("text"),
+        F.expr("substring(line, 2)").alias("text"),
     )
 
 
@@ -229,7 +229,7 @@ def reindent_replacement(replacement: Column, original_first: Column) -> Column:
     shifted = F.transform(
         lines,
         lambda x: F.when(text.strip(x) == "", F.lit(""))
-        .when(F.startswith(x, got), F.concat(wanted, F.substring(x, F.length(got) + 1, F.lit(1_000_000))))
+        .when(F.startswith(x, got), F.concat(wanted, F.substr(x, F.length(got) + 1)))
         .otherwise(x),
     )
     same = first.isNull() | original_first.isNull() | (wanted == got)

@@ -10,7 +10,6 @@ from riskweave.functions import stats
 
 COUNTS = ("tp", "fp", "tn", "fn")
 # An answer set up to this many lines is hashed as one sorted text; above it as a tree.
-FLAT_HASH_LINES = 100_000
 
 
 def rule_suffixes(spark: SparkSession) -> DataFrame:
@@ -148,34 +147,25 @@ def compare_runs(earlier: DataFrame, verdicts: DataFrame) -> DataFrame:
     return counted.withColumn("net", F.col("fixed") - F.col("broken")).withColumn("p_value", p)
 
 
-def outcomes_hash(verdicts: DataFrame, flat_limit: int = FLAT_HASH_LINES) -> DataFrame:
-    """One hash that changes if any single case is judged differently.
+def outcomes_hash(verdicts: DataFrame) -> DataFrame:
+    """One hash that changes if any single case is judged differently, built alike at every size.
 
-    Up to ``flat_limit`` cases (checked by a count): SHA-256 of the sorted ``name,reported`` lines.
-    Above it: the same lines sorted and hashed in 4,096 buckets by name, and the hash of those
-    hashes, so no task holds more than a bucket.
+    The sorted ``name,reported`` lines of each of 65,536 buckets (by SHA-256 of the name) are hashed, the
+    hashes of each of 256 groups of buckets are hashed, and so are theirs: no task holds more than a bucket.
     """
     line = F.concat("name", F.lit(","), F.col("reported").cast("int").cast("string"))
-    lines = verdicts.select("name", line.alias("line"))
-    total = lines.count()
-    if total <= flat_limit:
-        joined = F.array_join(F.array_sort(F.collect_list("line")), "\n")
-        return lines.agg(F.count("*").alias("cases"), F.sha2(joined, 256).alias("outcomes_sha256"))
-    buckets = max(4096, total // 10_000)
-    tagged = lines.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
-    leaves = tagged.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("leaf")
-    )
-    # One 80-byte row per bucket: folded in groups of 4,096 until one is left.
-    while buckets > 4096:
-        buckets = -(-buckets // 4096)
-        leaves = leaves.withColumn("bucket", F.floor(F.col("bucket") / 4096)).groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "\n"), 256).alias("leaf")
-        )
-    return leaves.agg(
-        F.sum("n").alias("cases"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "\n"), 256).alias("outcomes_sha256"),
-    )
+    tree = verdicts.select(F.substring(F.sha2("name", 256), 1, 4).alias("at"), line.alias("leaf"), F.lit(1).cast("long").alias("n"))
+    for digits in (4, 2, 0):
+        joined = F.array_join(F.array_sort(F.collect_list("leaf")), "\n")
+        tree = tree.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("leaf"))
+    return tree.select(F.col("n").alias("cases"), F.col("leaf").alias("outcomes_sha256"))
+
+
+def outcomes_hash_flat(verdicts: DataFrame) -> DataFrame:
+    """SHA-256 of all sorted ``name,reported`` lines, for answer keys that one task can hold."""
+    line = F.concat("name", F.lit(","), F.col("reported").cast("int").cast("string"))
+    joined = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    return verdicts.agg(F.count("*").alias("cases"), F.sha2(joined, 256).alias("outcomes_sha256"))
 
 
 def evaluation_guards(cases: DataFrame, files: DataFrame, unparsable: DataFrame, truncated: DataFrame) -> DataFrame:

@@ -280,13 +280,13 @@ def parsed_once(facts: DataFrame) -> DataFrame:
     return materialise(facts)
 
 
-def python_levels(facts: DataFrame, max_rounds: int = 64) -> DataFrame:
+def python_levels(facts: DataFrame) -> DataFrame:
     """``levels(repository_id, path, line, kind, level, source_line)`` for ``python_matches``.
 
     ``facts`` should come from ``parsed_once``.
     """
     nodes, edges, sinks = flow_tables(facts)
-    state = materialise(propagate(nodes, edges, max_rounds=max_rounds))
+    state = materialise(propagate(nodes, edges))
     sinks = materialise(sinks)
     wanted = sinks.filter("kind <> 'random'")
     levels = classify(state, wanted).join(
@@ -308,13 +308,15 @@ def python_levels(facts: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def propagate(
-    nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = dims.KINDS, max_rounds: int = 64
+    nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = dims.KINDS
 ) -> DataFrame:
     """``state(id, kind, origin, source)``: the least source of each origin that reaches a node.
 
     Semi-naive: each round moves only what improved in the last one, against all that is known
     already.  Every round is written to the shared folder, so a lost executor repeats one round,
-    not all of them; what is known is the union of those tables and is never written again.
+    not all of them.  Sources only fall, so the rounds end by themselves however long a flow is.  What is
+    known is a few tables: a new one is merged with those before it that are no larger, so each row is
+    written again a logarithmic number of times and a round reads a logarithmic number of tables.
     """
     # Read by every round: written once, in the form the rounds join on.
     steps = materialise(
@@ -325,8 +327,9 @@ def propagate(
         F.explode(_strings(kinds)).alias("kind"),
     ).filter(~F.array_contains("safe_for", F.col("kind")))
     frontier = materialise(start.groupBy(*KEY).agg(F.min("source").alias("source")))
-    seen = frontier
-    for _ in range(max_rounds):
+    known_tables = [(frontier, frontier.count())]
+    while True:
+        seen = _union(known_tables)
         moved = (
             steps.join(frontier.withColumnRenamed("id", "src"), "src")
             .filter(~F.array_contains("safe_for", F.col("kind")))
@@ -340,8 +343,18 @@ def propagate(
         frontier = materialise(m.join(s, known, "left_anti").select(*KEY, "source"))
         if frontier.isEmpty():
             return seen.groupBy(*KEY).agg(F.min("source").alias("source"))
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"data still moves after {max_rounds} rounds: raise max_rounds")
+        known_tables.append((frontier, frontier.count()))
+        while len(known_tables) > 1 and known_tables[-2][1] <= known_tables[-1][1]:
+            merged = _union(known_tables[-2:]).groupBy(*KEY).agg(F.min("source").alias("source"))
+            merged = materialise(merged)
+            known_tables[-2:] = [(merged, merged.count())]
+
+
+def _union(tables: list[tuple[DataFrame, int]]) -> DataFrame:
+    every, *rest = [table for table, _ in tables]
+    for table in rest:
+        every = every.unionByName(table)
+    return every
 
 
 def classify(state: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -359,10 +372,8 @@ def classify(state: DataFrame, sinks: DataFrame) -> DataFrame:
     return per.select("id", "kind", level.alias("level"), "source")
 
 
-def taint_reachability(
-    nodes: DataFrame, edges: DataFrame, sinks: DataFrame, max_rounds: int = 64
-) -> DataFrame:
-    return classify(propagate(nodes, edges, max_rounds=max_rounds), sinks)
+def taint_reachability(nodes: DataFrame, edges: DataFrame, sinks: DataFrame) -> DataFrame:
+    return classify(propagate(nodes, edges), sinks)
 
 
 def taint_cap(reasons: DataFrame, limit: int = MAX_REASONS) -> DataFrame:

@@ -262,7 +262,7 @@ class Tables:
         words = F.size(F.split("text", " "))
         n = F.col("doc_id")
         return joined.select(
-            n.alias("patch_id"), F.substring(F.sha2("text", 256), 1, 2).alias("finding_id"),
+            n.alias("patch_id"), F.substring(F.sha2("text", 256), 1, 6).alias("finding_id"),
             (F.col("quality") == 1).alias("passed"), F.col("source").alias("rule_id"),
             pick(dims.SEVERITIES, (n % 5).cast("int")).alias("severity"),
             pick(dims.CONFIDENCES, (n % 3).cast("int")).alias("confidence"), case(F.col("lang"), LANG_SUFFIX).alias("suffix"),

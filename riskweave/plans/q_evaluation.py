@@ -148,7 +148,7 @@ def label_examples(t: Tables):
 def vectorise(t: Tables):
     rows = learning.vectorise(t.examples).groupBy("patch_id").agg(
         F.round(F.coalesce(F.max(F.when(F.col("feature") == "size of the diff", F.col("value"))), F.lit(0.0)), 6).alias("diff_size"),
-        F.max(F.when(F.col("feature").startswith("rule = "), F.substring("feature", 8, 100))).alias("rule"),
+        F.max(F.when(F.col("feature").startswith("rule = "), F.expr("substring(feature, 8)"))).alias("rule"),
     )
     return rows
 

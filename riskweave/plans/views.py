@@ -243,7 +243,7 @@ SELECT p.*, coalesce(h.have, 0) AS have, row_number() OVER (PARTITION BY p.query
 FROM v_pairs p LEFT JOIN (SELECT query_id, count(*) AS have FROM v_selected GROUP BY 1) h ON h.query_id = p.query_id
 WHERE tier = 3 AND score >= 0.35) WHERE have + place <= 5""",
     "v_examples": f"""
-SELECT l.doc_id AS patch_id, substr(sha256(text), 1, 2) AS finding_id, quality = 1 AS passed, source AS rule_id, n_chars AS diff_characters,
+SELECT l.doc_id AS patch_id, substr(sha256(text), 1, 6) AS finding_id, quality = 1 AS passed, source AS rule_id, n_chars AS diff_characters,
  {array(dims.SEVERITIES)}[l.doc_id % 5 + 1] AS severity, {array(dims.CONFIDENCES)}[l.doc_id % 3 + 1] AS confidence,
  {case('lang', adapters.LANG_SUFFIX)} AS suffix, l.doc_id AS n, text FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "v_predictions": """

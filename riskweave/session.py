@@ -49,13 +49,16 @@ def materialise(frame: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Bytes of a scan up to which it may be dealt out again.
+SMALL_SCAN = 256 << 20
+
+
 def spread_small(scan: DataFrame) -> DataFrame:
-    """Spread a table that arrives in no more pieces than there are cores.
+    """Deal a scan of at most ``SMALL_SCAN`` bytes out over the cores; larger ones are returned as they are.
 
     A file with one row group is read by one task however many cores there are; work per row that
-    is heavy (rules, parsing, packing) then runs on one core.  A table of many files has more
-    pieces than cores and is returned as it is, so nothing large is ever shuffled for this.  Only
-    for plain scans.
+    is heavy (rules, parsing, packing) then runs on one core.  The size is the planner's own statistic, so
+    no plan is started for it, and rows are the same either way.  Only for plain scans.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores else scan
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if int(size) <= SMALL_SCAN else scan
