@@ -26,6 +26,8 @@ FACT_SCHEMA = (
 ROUTE_DECORATORS = {"route", "get", "post", "put", "delete", "patch"}
 NOT_TEXT = {"int", "float", "bool", "uuid", "UUID", "Decimal", "date", "datetime"}
 REQUESTS = {"flask.request", "quart.request", "bottle.request"}
+# --- fixed values: methods of the built-in containers that put a value into them ---
+FILLING = {"append", "appendleft", "add", "extend", "extendleft", "insert", "setdefault", "update", "__setitem__", "write"}
 
 
 def _dotted(node: ast.AST | None) -> str | None:
@@ -155,6 +157,87 @@ class _Facts(ast.NodeVisitor):
             self.emit("return", node, **values)
         self.generic_visit(node)
 
+    def assigned(self, node: ast.AST, target: ast.AST, values: dict, qualified: str | None = None) -> None:
+        """An assignment to every name in a target, however it is unpacked.
+
+        An element of a container is also an assignment to the container, which keeps what it held.
+        """
+        if isinstance(target, ast.Tuple | ast.List):
+            for item in target.elts:
+                self.assigned(node, item, values, qualified)
+        elif isinstance(target, ast.Starred):
+            self.assigned(node, target.value, values, qualified)
+        elif isinstance(target, ast.Name | ast.Attribute):
+            name = target.id if isinstance(target, ast.Name) else target.attr
+            self.emit("assign", node, target=name, qualified=qualified, **values)
+            if isinstance(target, ast.Attribute):
+                self.mixed_into(node, target.value, values)
+        elif isinstance(target, ast.Subscript):
+            self.mixed_into(node, target.value, values)
+
+    def mixed_into(self, node: ast.AST, container: ast.AST, values: dict) -> None:
+        """What a container or an object held, it still holds beside what is put into it."""
+        while isinstance(container, ast.Subscript | ast.Attribute | ast.Call):
+            container = container.func if isinstance(container, ast.Call) else container.value
+        if isinstance(container, ast.Name) and self.resolve(container.id) == container.id and container.id not in ("self", "cls"):
+            held = {**values, "literal": False, "value": None, "names": sorted({*values["names"], container.id})}
+            self.emit("assign", node, target=container.id, qualified=None, **held)
+
+    def touched(self, node: ast.AST, name: str | None, scopes: list[str] | None = None) -> None:
+        """A name is bound in a way whose value is not followed."""
+        for scope in scopes or self.scope[-1:]:
+            if name:
+                self.emit("touched", node, target=name, **{"scope": scope})
+
+    def visit_AnnAssign(self, node):  # noqa: N802
+        if node.value is not None:
+            self.assigned(node, node.target, self.describe(node.value))
+        self.generic_visit(node)
+
+    def visit_AugAssign(self, node):  # noqa: N802
+        values = self.describe(node.value)
+        if isinstance(node.target, ast.Name):
+            held = {**values, "literal": False, "value": None, "names": sorted({*values["names"], node.target.id})}
+            self.assigned(node, node.target, held)
+        else:
+            self.assigned(node, node.target, {**values, "literal": False, "value": None})
+        self.generic_visit(node)
+
+    def visit_NamedExpr(self, node):  # noqa: N802
+        self.assigned(node, node.target, self.describe(node.value))
+        self.generic_visit(node)
+
+    def _loop(self, node):
+        self.assigned(node if hasattr(node, "lineno") else node.target, node.target, {**self.describe(node.iter), "literal": False, "value": None})
+        self.generic_visit(node)
+
+    visit_For = visit_AsyncFor = visit_comprehension = _loop
+
+    def _with(self, node):
+        for item in node.items:
+            if item.optional_vars is not None:
+                self.assigned(node, item.optional_vars, {**self.describe(item.context_expr), "literal": False, "value": None})
+        self.generic_visit(node)
+
+    visit_With = visit_AsyncWith = _with
+
+    def visit_ExceptHandler(self, node):  # noqa: N802
+        self.touched(node, node.name)
+        self.generic_visit(node)
+
+    def _pattern(self, node):
+        self.touched(node, getattr(node, "name", None) or getattr(node, "rest", None))
+        self.generic_visit(node)
+
+    visit_MatchAs = visit_MatchStar = visit_MatchMapping = _pattern
+
+    def _outer(self, node):
+        for name in node.names:
+            self.touched(node, name, list(dict.fromkeys(self.scope)))
+        self.generic_visit(node)
+
+    visit_Global = visit_Nonlocal = _outer
+
     def visit_Assign(self, node):  # noqa: N802
         values = self.describe(node.value)
         for target in node.targets:
@@ -166,11 +249,8 @@ class _Facts(ast.NodeVisitor):
                 self.emit(
                     "store", node, target=base, qualified=self.resolve(base), key=key["value"], **stored
                 )
-            for item in target.elts if isinstance(target, ast.Tuple | ast.List) else [target]:
-                if isinstance(item, ast.Name | ast.Attribute):
-                    name = item.id if isinstance(item, ast.Name) else item.attr
-                    whole = self.resolve(_dotted(node.value.func)) if isinstance(node.value, ast.Call) else None
-                    self.emit("assign", node, target=name, qualified=whole, **values)
+            whole = self.resolve(_dotted(node.value.func)) if isinstance(node.value, ast.Call) else None
+            self.assigned(node, target, values, whole)
         self.generic_visit(node)
 
     def visit_Call(self, node):  # noqa: N802
@@ -194,6 +274,9 @@ class _Facts(ast.NodeVisitor):
                 "call", node, call_name=name, tail=name.rsplit(".", 1)[-1], qualified=self.resolve(name),
                 kwargs=kwargs, **described,
             )
+        if isinstance(node.func, ast.Attribute) and node.func.attr in FILLING:
+            given = ast.Tuple(elts=[*node.args, *[k.value for k in node.keywords]], ctx=ast.Load())
+            self.mixed_into(node, node.func.value, self.describe(given))
         self.generic_visit(node)
 
 

@@ -163,17 +163,17 @@ def hardcoded_secret() -> Column:
 
 
 def with_levels(calls: DataFrame, levels: DataFrame | None) -> DataFrame:
-    """Add ``level_<kind>`` columns: one join for all rules, levels pivoted per line first."""
+    """Add ``level_<kind>`` columns: one join for all rules, levels pivoted per call (line and column) first."""
     if levels is None:
         for kind in dims.KINDS:
             calls = calls.withColumn(f"level_{kind}", F.lit(dims.UNKNOWN))
         return calls
     order = {dims.TAINTED: 2, dims.UNKNOWN: 1, dims.CLEAN: 0}
     rank = F.when(F.col("level") == dims.TAINTED, 2).when(F.col("level") == dims.UNKNOWN, 1).otherwise(0)
-    wide = levels.groupBy("repository_id", "path", "line").agg(
+    wide = levels.groupBy("repository_id", "path", "line", "col").agg(
         *[F.max(F.when(F.col("kind") == kind, rank)).alias(f"r_{kind}") for kind in dims.KINDS]
     )
-    joined = calls.join(wide, ["repository_id", "path", "line"], "left")
+    joined = calls.join(wide, ["repository_id", "path", "line", "col"], "left")
     names = {v: k for k, v in order.items()}
     for kind in dims.KINDS:
         r = F.col(f"r_{kind}")
@@ -250,7 +250,7 @@ def html_matches(facts: DataFrame, levels: DataFrame) -> DataFrame:
     """PY021: one finding per request value and function, at the first place it leaves."""
     reached = levels.filter((F.col("kind") == "html") & (F.col("level") == dims.TAINTED))
     places = facts.filter((F.col("fact") == "return") | _is("qualified", *HTML_CALLS))
-    rows = places.join(reached, ["repository_id", "path", "line"])
+    rows = places.join(reached, ["repository_id", "path", "line", "col"])
     first = rows.groupBy("repository_id", "path", "scope", "source_line").agg(
         F.min_by(F.struct("line", "end_line", "snippet"), F.struct("line", "col")).alias("at")
     )
@@ -265,7 +265,7 @@ def session_matches(facts: DataFrame, levels: DataFrame) -> DataFrame:
         & (target.isin(*SESSION_OBJECTS) | (target == "session") | target.endswith(".session"))
     )
     reached = levels.filter((F.col("kind") == "trust") & (F.col("level") == dims.TAINTED))
-    return _match(stores.join(reached, ["repository_id", "path", "line"], "left_semi"), "PY022")
+    return _match(stores.join(reached, ["repository_id", "path", "line", "col"], "left_semi"), "PY022")
 
 
 def random_matches(facts: DataFrame, levels: DataFrame) -> DataFrame:

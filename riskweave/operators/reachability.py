@@ -249,6 +249,7 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             node.alias("id"), F.lit(dims.OPAQUE).alias("origin"), "line", _strings([]).alias("safe_for")
         )
 
+    touched = facts.filter("fact = 'touched'")
     defined = facts.filter("fact in ('assign', 'parameter')").select(var("target").alias("id")).distinct()
     mentioned = assigns.select("*", F.explode("names").alias("name")).select(var("name").alias("id"), "line")
     mentioned = mentioned.unionByName(
@@ -258,6 +259,7 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         sources.unionByName(looked_up)
         .unionByName(opaque(mentioned.join(defined, "id", "left_anti"), F.col("id")))
         .unionByName(opaque(parameters.filter("not built"), var("target")))
+        .unionByName(opaque(touched, var("target")))
         .unionByName(opaque(assigns.filter(unknown_call() & carries), var("target")))
         .unionByName(opaque(used.filter(unknown_call()), place()))
     )
@@ -266,11 +268,11 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     conditions.append(F.when((F.col("fact") == "return") & ~F.col("literal"), F.lit("html")))
     conditions.append(F.when(F.col("fact") == "store", F.lit("trust")))
     sinks = used.select(
-        place().alias("id"), "repository_id", "path", "line",
+        place().alias("id"), "repository_id", "path", "line", "col",
         F.explode(F.array_compact(F.array(*conditions))).alias("kind"),
     ).distinct()
     named = assigns.filter(F.lower("target").rlike(SECRET_PLACES)).select(
-        var("target").alias("id"), "repository_id", "path", "line", F.lit("random").alias("kind")
+        var("target").alias("id"), "repository_id", "path", "line", "col", F.lit("random").alias("kind")
     )
     return nodes, edges, sinks.unionByName(named.distinct())
 
@@ -281,7 +283,7 @@ def parsed_once(facts: DataFrame) -> DataFrame:
 
 
 def python_levels(facts: DataFrame) -> DataFrame:
-    """``levels(repository_id, path, line, kind, level, source_line)`` for ``python_matches``.
+    """``levels(repository_id, path, line, col, kind, level, source_line)`` for ``python_matches``.
 
     ``facts`` should come from ``parsed_once``.
     """
@@ -290,15 +292,15 @@ def python_levels(facts: DataFrame) -> DataFrame:
     sinks = materialise(sinks)
     wanted = sinks.filter("kind <> 'random'")
     levels = classify(state, wanted).join(
-        wanted.select("id", "kind", "repository_id", "path", "line"), ["id", "kind"]
+        wanted.select("id", "kind", "repository_id", "path", "line", "col"), ["id", "kind"]
     )
     found = levels.select(
-        "repository_id", "path", "line", "kind", "level", F.col("source").alias("source_line")
+        "repository_id", "path", "line", "col", "kind", "level", F.col("source").alias("source_line")
     )
     # A weak random number keeps its origin whatever it passed through: any kind will do.
     chance = state.filter(F.col("origin") == dims.RANDOM).groupBy("id").agg(F.min("source").alias("source"))
     weak = sinks.filter("kind = 'random'").join(chance, "id").select(
-        "repository_id", "path", "line", "kind", F.lit(dims.TAINTED).alias("level"),
+        "repository_id", "path", "line", "col", "kind", F.lit(dims.TAINTED).alias("level"),
         F.col("source").alias("source_line"),
     )
     return found.unionByName(weak)

@@ -18,9 +18,9 @@ FIX_LABELS = {
     "refused": "A fix was asked for and none was acceptable.",
     "unchecked": "A fix was proposed and never checked.",
     "checking": "A proposed fix is being checked.",
-    "passed": "A proposed fix passed the re-scan of a copy; the code itself is unchanged.",
+    "passed": "In a trial scan the latest fix removed this finding; it has yet to reach the repository.",
     "rejected": "A proposed fix was rejected by the re-scan.",
-    "not_judged": "A proposed fix could not be checked because the code had changed.",
+    "not_judged": "The trial scan of the latest fix failed: the file differs from the one it was written for.",
 }
 LIMITATIONS = (
     "Rules read code without running it: a finding names a dangerous construct, not a proven attack.",

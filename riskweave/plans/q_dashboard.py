@@ -381,8 +381,8 @@ def freeze_scan_risk(t: Tables):
     return risk.freeze_scan_risk(t.scans, risks(t)).select("id", "repository_id", "risk_score", "risk_grade", "risk_policy_version")
 
 
-@query("quality_gate", """SELECT repository_id, score, blocking, blocking = 0 AND score <= 60 AS passed, concat_ws(' ', CASE WHEN blocking > 0 THEN blocking || ' new finding' || CASE WHEN blocking = 1 THEN '' ELSE 's' END || ' at HIGH severity or above.' END,
- CASE WHEN score > 60 THEN 'The risk score is ' || regexp_replace(regexp_replace(printf('%.4f', score), '0+$', ''), '[.]$', '') || ', above the allowed 60.' END) AS reasons
+@query("quality_gate", """SELECT repository_id, score, blocking, blocking = 0 AND score <= 60 AS passed, concat_ws(' ', CASE WHEN blocking > 0 THEN blocking || ' new finding' || CASE WHEN blocking = 1 THEN '' ELSE 's' END || ' of severity HIGH or worse.' END,
+ CASE WHEN score > 60 THEN 'Score ' || regexp_replace(regexp_replace(printf('%.4f', score), '0+$', ''), '[.]$', '') || ' exceeds the limit of 60.' END) AS reasons
  FROM (SELECT r.repository_id, r.score, coalesce(b.n, 0) AS blocking FROM v_risk r LEFT JOIN (SELECT repository_id, count(*) AS n FROM v_findings WHERE status <> 'FIXED' AND id % 3 = 0 AND severity IN ('CRITICAL','HIGH') GROUP BY 1) b USING (repository_id))""")
 def quality_gate(t: Tables):
     rows = risk.quality_gate(t.findings, risks(t), "high", 60.0, baseline(t))

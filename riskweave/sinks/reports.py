@@ -58,42 +58,40 @@ def export_markdown(report: DataFrame, risk: DataFrame, rules: DataFrame) -> Dat
     """The Markdown report of every repository as ordered lines."""
     location = markdown_code(F.concat("file_path", F.lit(":"), F.col("line_start").cast("string")))
     head = F.concat_ws(
-        "\n", F.concat(F.lit("# Security report: repository "), F.col("repository_id").cast("string")), F.lit(""),
+        "\n", F.concat(F.lit("# Repository "), F.col("repository_id").cast("string"), F.lit(": what the scan found")), F.lit(""),
         F.concat(
-            F.lit("**Risk grade "), "grade", F.lit("** ("), short_number(F.col("score")),
-            F.lit(" out of 100, scoring policy v"), F.col("policy_version").cast("string"), F.lit("): "),
-            grade_label(F.col("grade")), F.lit("."),
+            F.lit("Grade "), "grade", F.lit(", "), grade_label(F.col("grade")), F.lit(": "), short_number(F.col("score")),
+            F.lit(" points of 100 by version "), F.col("policy_version").cast("string"), F.lit(" of the risk policy. "),
+            F.col("open").cast("string"), F.lit(" open, "), F.col("fixed").cast("string"), F.lit(" no longer found."),
         ),
-        F.lit(""), F.concat(F.lit("- Open findings: **"), F.col("open").cast("string"), F.lit("**")),
-        F.concat(F.lit("- Fixed findings: **"), F.col("fixed").cast("string"), F.lit("**")), F.lit(""),
-        F.lit("| Severity | Open findings |"), F.lit("| --- | ---: |"),
-        *[F.concat(F.lit(f"| {s} | "), F.col(s.lower()).cast("string"), F.lit(" |")) for s in dims.SEVERITIES],
-        F.lit(""), F.lit("## What to fix, by rule"), F.lit(""),
+        F.lit(""), F.lit("| open | |"), F.lit("| :-- | --: |"),
+        *[F.concat(F.lit(f"| {s.lower()} | "), F.col(s.lower()).cast("string"), F.lit(" |")) for s in dims.SEVERITIES],
+        F.lit(""), F.lit("## Rules that matched"), F.lit(""),
     )
     rule = F.concat_ws(
         "\n", F.concat(F.lit("### "), markdown_text(F.col("rule_id")), F.lit(": "), markdown_text(F.col("title"))),
         F.lit(""),
         F.concat_ws(
             " · ",
-            F.concat(F.col("count").cast("string"), F.when(F.col("count") == 1, " open finding").otherwise(" open findings")),
-            F.concat(F.lit("worst severity "), "worst_severity"), F.col("cwe_id"), F.col("owasp_category"),
+            F.concat(F.col("count").cast("string"), F.when(F.col("count") == 1, " place").otherwise(" places")),
+            F.concat(F.lit("up to "), F.lower("worst_severity")), F.col("cwe_id"), F.col("owasp_category"),
         ),
         F.lit(""),
-        F.when(F.col("risk_note").isNotNull(), F.concat(F.lit("**Risk.** "), markdown_text(F.col("risk_note")), F.lit("\n"))),
-        F.when(F.col("fix_note").isNotNull(), F.concat(F.lit("**Fix.** "), markdown_text(F.col("fix_note")), F.lit("\n"))),
+        F.when(F.col("risk_note").isNotNull(), F.concat(F.lit("Why it matters: "), markdown_text(F.col("risk_note")), F.lit("\n"))),
+        F.when(F.col("fix_note").isNotNull(), F.concat(F.lit("What helps: "), markdown_text(F.col("fix_note")), F.lit("\n"))),
     )
     finding = F.concat_ws(
         "\n",
         F.concat(
             F.lit("### "), F.col("number").cast("string"), F.lit(". "), "severity", F.lit(": "), markdown_text(F.col("title"))
         ),
-        F.lit(""), F.concat(F.lit("- Location: "), location),
+        F.lit(""), F.concat(F.lit("- In "), location),
         F.concat(
-            F.lit("- Rule: "),
+            F.lit("- Matched by "),
             F.concat_ws(" · ", markdown_text(F.col("rule_id")), F.col("cwe_id"), F.col("owasp_category")),
         ),
-        F.concat(F.lit("- Confidence: "), "confidence", F.lit(" · State: "), "status"),
-        F.concat(F.lit("- Risk: "), short_number(F.col("score")), F.lit(" ("), markdown_code(F.col("score_explanation")), F.lit(")")),
+        F.concat(F.lit("- "), F.initcap("confidence"), F.lit(" confidence, "), F.lower("status")),
+        F.concat(F.lit("- Scores "), short_number(F.col("score")), F.lit(": "), markdown_code(F.col("score_explanation"))),
         F.concat(F.lit("- Fix: "), "fix_label"), F.lit(""), markdown_paragraph(F.col("message")), F.lit(""),
         F.when(F.trim("snippet") != "", F.concat(markdown_block(F.col("snippet")), F.lit("\n"))),
     )
@@ -101,12 +99,12 @@ def export_markdown(report: DataFrame, risk: DataFrame, rules: DataFrame) -> Dat
         F.lit("| "), "severity", F.lit(" | "), markdown_text(F.col("rule_id")), F.lit(" | "),
         markdown_text(F.col("title")), F.lit(" | "), location, F.lit(" |"),
     )
-    limits = "\n".join(["", "## What this report does not claim", "", *[f"- {x}" for x in LIMITATIONS]])
-    titles = "## Fixed findings\n\n| Severity | Rule | Finding | Location |\n| --- | --- | --- | --- |"
+    limits = "\n".join(["", "## How far this goes", "", *[f"- {x}" for x in LIMITATIONS]])
+    titles = "## No longer found\n\n| was | rule | what | where |\n| :-- | :-- | :-- | :-- |"
     rule_keys = [F.col("severity_rank"), (-F.col("count")), F.col("rule_id")]
     fixed_rows = report.filter("part = 'fixed'")
     return union(
-        lines(risk, 0, head), lines(rules, 1, rule, rule_keys), lines(risk, 2, F.lit("## Open findings\n")),
+        lines(risk, 0, head), lines(rules, 1, rule, rule_keys), lines(risk, 2, F.lit("## Open\n")),
         lines(_numbered(report), 3, finding, _keys()), lines(risk.filter("fixed > 0"), 4, F.lit(titles)),
         lines(fixed_rows, 5, gone, _keys()), lines(risk, 6, F.lit(limits)),
     )
@@ -170,15 +168,14 @@ def diagnostics(findings: DataFrame, notes: DataFrame | None = None) -> DataFram
     if notes is not None:
         rows = rows.join(notes.groupBy("rule_id").agg(F.min("fix").alias("fix_note")), "rule_id", "left")
         fix = F.col("fix_note")
-    rotate = F.lit("Fix: rotate this credential. Removing the line does not un-leak it.")
-    advice = F.when(is_credential(F.col("cwe_id")), rotate).when(
-        _one_line(fix) != "", F.concat(F.lit("Fix: "), _one_line(fix))
-    )
-    title = _one_line(F.col("title"))
-    message = F.concat_ws(
-        "\n", F.when(title == "", "Security finding").otherwise(title),
-        F.nullif(_one_line(F.col("message")), F.lit("")), advice,
-    )
+    rotate = F.lit("Replace this credential where it was issued: whoever can read the history has it.")
+    # What an editor shows: a heading (the rule where there is no title), the explanation, what to do.
+    said = F.transform(
+        F.array(F.coalesce("title", F.lit("")), F.coalesce("message", F.lit("")), F.coalesce(fix, F.lit(""))), _one_line
+    )
+    heading = F.coalesce(F.nullif(F.get(said, 0), F.lit("")), F.concat(F.lit("Matched by "), F.col("rule_id")))
+    advice = F.when(is_credential(F.col("cwe_id")), rotate).otherwise(F.get(said, 2))
+    message = F.array_join(F.filter(F.array(heading, F.get(said, 1), advice), lambda part: part != ""), "\n")
     clipped = F.when(
         F.length(message) > MAX_DIAGNOSTIC, F.concat(F.substring(message, 1, MAX_DIAGNOSTIC - 1), F.lit(text.ELLIPSIS))
     ).otherwise(message)

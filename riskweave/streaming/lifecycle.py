@@ -15,14 +15,24 @@ SCAN_COLUMNS = ("repository_id", "scan_id", "status")
 def merge_batch(batch: DataFrame, epoch: int, path: str) -> None:
     """Merge one micro-batch: rows ``(repository_id, scan_id, status, fingerprint, ..payload)``.
 
-    A scan is its rows; a scan that found nothing is one row with a NULL fingerprint.  Scans that
-    did not complete change nothing.  A scan no newer than the last one applied to its repository
-    is not applied and is written to ``late``.
+    A scan is its rows, in any number of batches, and one end mark: a row with a NULL fingerprint, which
+    comes last (a scan that found nothing is its end mark alone).  Rows of scans that have not ended are held
+    in ``parts`` and applied with the batch that brings the mark.  Scans that did not complete change
+    nothing.  A scan no newer than the last one applied to its repository is not applied and is
+    written to ``late``.
     """
     spark = batch.sparkSession
     done = batch.filter("status = 'COMPLETED'").persist()
     try:
-        scans = done.select("repository_id", "scan_id").distinct()
+        key = ["repository_id", "scan_id"]
+        scans = done.filter("fingerprint is null").select(*key).distinct()
+        rows = done.filter("fingerprint is not null").drop("status")
+        held = read_state(spark, path, epoch, "parts")
+        open_ = rows.join(scans, key, "left_anti")
+        if not open_.isEmpty():
+            write_findings_state(open_, path, epoch, table="parts")
+        if held is not None:
+            rows = rows.unionByName(held)
         ledger = read_state(spark, path, epoch, "ledger")
         late = None
         if ledger is not None:
@@ -31,9 +41,7 @@ def merge_batch(batch: DataFrame, epoch: int, path: str) -> None:
             write_findings_state(late, path, epoch, table="late")
         if scans.isEmpty():
             return
-        observations = done.filter("fingerprint is not null").drop("status").join(
-            scans, ["repository_id", "scan_id"], "left_semi"
-        ).dropDuplicates(["repository_id", "scan_id", "fingerprint"])
+        observations = rows.join(scans, key, "left_semi").dropDuplicates([*key, "fingerprint"])
         stored = read_state(spark, path, epoch)
         if stored is not None:
             # Whole buckets are written again, so every repository of a touched bucket is read.

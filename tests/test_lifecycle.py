@@ -64,6 +64,7 @@ def test_stream_equals_batch_and_late_scans_are_counted(spark, tmp_path):
     schema = OBS + ", status string"
     for part, scans in enumerate([(1, 2), (3,), (4, 5, 6), (2,)]):
         piece = [(*r, "COMPLETED") for r in rows if r[1] in scans] + [(1, 90 + part, "zz", 1, "FAILED")]
+        piece += [(repo, scan, None, None, "COMPLETED") for repo, scan in {r[:2] for r in rows if r[1] in scans}]
         spark.createDataFrame(piece, schema).coalesce(1).write.parquet(f"{source}/p{part}")
         stream = spark.readStream.schema(spark.createDataFrame(piece, schema).schema).parquet(f"{source}/*")
         apply_scan_stream(stream, out, str(tmp_path / "ck")).awaitTermination()
@@ -73,6 +74,21 @@ def test_stream_equals_batch_and_late_scans_are_counted(spark, tmp_path):
     assert sorted((r.repository_id, r.scan_id) for r in late) == [(1, 2), (2, 2), (3, 2)]
 
 
+def test_one_scan_over_three_files_is_one_scan(spark, tmp_path):
+    rows = [(1, 1, f, i) for i, f in enumerate("abcdef")] + [(1, 2, f, i) for i, f in enumerate("bcx")]
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), OBS + ", status string"
+    end = lambda scan: (1, scan, None, None, "COMPLETED")
+    told = [(*r, "COMPLETED") for r in rows]
+    for part, piece in enumerate([told[:2], told[2:4] + told[6:7], [*told[4:6], end(1)], [*told[7:], end(2)]]):
+        frame = spark.createDataFrame(piece, schema)
+        frame.coalesce(1).write.parquet(f"{source}/p{part}")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{source}/*")
+        apply_scan_stream(stream, out, str(tmp_path / "ck")).awaitTermination()
+        if part < 2:
+            assert read_state(spark, out) is None
+    assert as_dict(read_state(spark, out)) == as_dict(lifecycle.apply_scans(None, spark.createDataFrame(rows, OBS)))
+
+
 def test_reuse_revokes_the_family(spark):
     rows = [(1, 10, 1, 1), (1, 11, 2, 2), (1, 10, 3, 3), (1, 12, 4, 4), (2, 20, 1, 5)]
     out = lifecycle.refresh_reuse(spark.createDataFrame(rows, "family_id bigint, token_id bigint, presented_at bigint, event_id bigint"))
