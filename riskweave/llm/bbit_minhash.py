@@ -10,9 +10,12 @@ counting equal groups of bits (xor, fold, population count) and correcting for c
 dropped, the others confirmed on full sets, rebuilt from the whole texts.
 
 A bucket's pairs are never all made.  First every member meets the bucket's least id, which is linear in the
-bucket.  Links so found give components.  Then, round by round, buckets that still span several components take
-up to ``MOVERS`` members outside their largest component to the members of the other components, until in every
-bucket each pair is in one component or has been compared.  So the components are those of all candidate pairs.
+bucket, and links so found give components.  In buckets that still span several components, only the members
+outside the largest one (movers) have to meet the others.  They do so in cells of at most ``CHUNK`` movers and
+``CHUNK`` members: signatures are compared as a matrix, and only members with a near enough partner go on, with
+their texts, to the same cell, where full sets are compared as a matrix.  A cell returns at most one link for two
+components.  So rows are linear in a bucket (times its chunks), yet every candidate pair between components has
+been compared, and the components are those of all candidate pairs.
 
 Bands and rows are chosen so that a pair at the threshold misses every band with probability at most ``MISS``
 (4e-7 at 0.85 with 25 bands of 5; 5e-8 at 0.80 with 32 of 4).
@@ -33,7 +36,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from riskweave.llm.components import components, relabelled
 from riskweave.llm.text import Hashes, encoded, mixed, window_hashes
@@ -43,7 +45,8 @@ HASHES = 128
 BITS = 4
 SIGMAS = 6.0
 MISS = 1e-6
-MOVERS = 64
+#: Movers and members of a cell, at most, and rows of the groups that cells are put together in.
+CHUNK, GROUP_ROWS = 512, 4000
 PER_LONG = 64 // BITS
 LOW = (1 << BITS) - 1
 
@@ -176,8 +179,114 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return joined.filter(check("tb", "ta")).select("a", "b").distinct()
 
 
+def _cells(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Movers and members of every cell of a group."""
+    for _, cell in group.groupby(["key", "i", "j"], sort=False):
+        side = cell["mover"].to_numpy()
+        yield cell[side], cell[~side]
+
+
+def _apart(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    return left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None]
+
+
+def near_in_cells(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Rows of cells whose estimate with some row of another component on the other side is at least ``least``.
+
+    A pair that shares an earlier band is looked at there.
+    """
+    chance, kept = 2.0**-BITS, []
+    ones = np.uint64(int("1" * PER_LONG, 16))
+    for left, right in _cells(group):
+        if left.empty or right.empty:
+            continue
+        near = _apart(left, right)
+        a, b = (np.stack(x["signature"].to_numpy()).view(np.uint64) for x in (left, right))
+        unequal = np.zeros(near.shape, np.int32)
+        for word in range(a.shape[1]):
+            x = a[:, word][:, None] ^ b[:, word][None]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            unequal += np.bitwise_count(x & ones)
+        near &= ((1 - unequal / HASHES) - chance) / (1 - chance) >= least
+        if not near.any():
+            continue
+        a, b = (np.stack(x["bands"].to_numpy()) for x in (left, right))
+        for band in range(int(left["band"].iloc[0])):
+            near &= a[:, band][:, None] != b[:, band][None]
+        kept += [left[near.any(axis=1)], right[near.any(axis=0)]]
+    columns = ["key", "i", "j", "mover", "id", "component"]
+    return pd.concat(kept)[columns] if kept else group.iloc[:0][columns]
+
+
+def links_in_cells(group: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+    """Pairs of components (greater first) with a link between their rows in a cell, from full sets."""
+    hashes, found = Hashes(), set()
+    known: dict[int, np.ndarray] = {}
+    for i, text in zip(group["id"], group["text"], strict=True):
+        if i not in known:
+            known[i] = shingles(text, width, hashes)
+    for left, right in _cells(group):
+        if left.empty or right.empty:
+            continue
+        sides = [[known[i] for i in x["id"]] for x in (left, right)]
+        both = np.intersect1d(*[np.unique(np.concatenate(side)) for side in sides], assume_unique=True)
+        # Overlaps as a product of incidence matrices over the shingles that stand on both sides, part by part.
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(both), 4096):
+            part = both[at : at + 4096]
+            grids = []
+            for side in sides:
+                grid = np.zeros((len(side), len(part)), np.float32)
+                for row, own in enumerate(side):
+                    grid[row, np.searchsorted(part, np.intersect1d(own, part, assume_unique=True))] = 1
+                grids.append(grid)
+            overlap += grids[0] @ grids[1].T
+        sizes = [np.array([len(own) for own in side], float) for side in sides]
+        linked = 100 * overlap.astype(float) >= percent * (sizes[0][:, None] + sizes[1][None] - overlap)
+        rows, columns = np.nonzero(linked & _apart(left, right))
+        for x, y in zip(left["component"].to_numpy()[rows], right["component"].to_numpy()[columns], strict=True):
+            found.add((max(x, y), min(x, y)))
+    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+
+def between_components(members: DataFrame, marks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b``: components with a link between them, from buckets ``(key, band, id, component)``."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    spans = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("m")
+    )
+    spans = spans.filter("parts > 1").select(
+        "key", F.col("top.component").alias("top"), F.ceil(F.col("m") / CHUNK).cast("int").alias("right"),
+        F.ceil((F.col("m") - F.col("top.n")) / CHUNK).cast("int").alias("left"),
+    )
+    rows = materialise(members.join(spans, "key"))
+    place = F.xxhash64("id", F.lit(3))
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    movers = rows.filter("component <> top").withColumn("i", F.pmod(place, F.col("left")).cast("int")).withColumn("j", every("right"))
+    others = rows.withColumn("j", F.pmod(place, F.col("right")).cast("int")).withColumn("i", every("left"))
+    names = ["key", "band", "i", "j", "id", "component"]
+    sides = movers.select(*names, F.lit(True).alias("mover")).unionByName(others.select(*names, F.lit(False).alias("mover")))
+    groups = 1 + rows.count() // GROUP_ROWS
+    into = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")
+    least = floor_of(percent / 100)
+
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        return near_in_cells(group, least)
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        return links_in_cells(group, width, percent)
+
+    schema = "key long, i int, j int, mover boolean, id long, component long"
+    left = sides.join(marks, "id").select(into, *names, "mover", "signature", "bands")
+    kept = materialise(left.groupBy("g").applyInPandas(near, schema))
+    wanted = texts.join(kept.select("id").distinct(), "id", "left_semi")
+    right = kept.join(wanted, "id").select(into, "key", "i", "j", "mover", "id", "component", "text")
+    return materialise(right.groupBy("g").applyInPandas(linked, "a long, b long").distinct())
+
+
 def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, kept, n_links`` (links of its class to other classes)."""
+    """Per row: ``doc_id, n_shingles, component_id, kept``."""
     threshold = percent / 100
     signed = signatures(documents, width, threshold)
     full = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -185,64 +294,35 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) ->
         F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     classes = materialise(classes)
-    marks = classes.select("id", "signature")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    least = floor_of(threshold)
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        left = marks.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-        right = marks.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-        near = pairs.join(left, "a").join(right, "b").filter(estimated(F.col("sa"), F.col("sb")) >= least)
-        return materialise(near.select("a", "b").distinct())
-
-    entries = classes.select("id", F.explode("bands").alias("key"))
+    entries = classes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(entries.join(buckets, "key").select("key", "id", "lead", "n"))
-    tested = materialise(_pairs(shared.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
-    links = materialise(confirmed(candidates(tested), texts, width, percent))
-    labels = components(links)
-
-    members = shared.filter("n > 2").select("key", "id")  # in a bucket of two, the pair has been compared
-    met = None  # members of buckets that have been compared with all others of their bucket
-    while True:
-        at = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
-        largest = largest.filter("parts > 1").select("key", F.col("top.component").alias("top"))
-        open_ = materialise(at.join(largest, "key"))
-        movers = open_.filter("component <> top")
-        if met is not None:
-            movers = movers.join(met, ["key", "id"], "left_anti")
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        movers = materialise(movers.withColumn("nth", nth).filter(F.col("nth") <= MOVERS).select("key", "id", "component"))
-        if movers.isEmpty():
-            break
-        mover = movers.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = open_.join(mover, "key").filter("component <> cb").select(F.col("id").alias("a"), "b")
-        fresh = materialise(_pairs(pairs).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
-        done = movers.select("key", "id")
-        met = done if met is None else met.unionByName(done)
-        found = materialise(confirmed(candidates(fresh), texts, width, percent))
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        between = _between(found, labels)
-        merged = components(between).select(F.col("id").alias("component"), F.col("component").alias("p"))
-        labels = _extended(labels, between, merged)
+    shared = materialise(entries.join(buckets, "key").select("key", "band", "id", "lead", "n"))
+
+    # Every member and the least id of its bucket.
+    pairs = _pairs(shared.select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    left = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+    right = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
+    near = pairs.join(left, "a").join(right, "b").filter(estimated(F.col("sa"), F.col("sb")) >= floor_of(threshold))
+    near = materialise(near.select("a", "b").distinct())
+    labels = components(confirmed(near, texts, width, percent))
+
+    # Buckets that still span several components; in a bucket of two the pair has been compared.
+    members = shared.filter("n > 2").join(labels, "id", "left")
+    members = members.select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    marks = classes.select("id", "signature", "bands")
+    between = between_components(members, marks, texts, width, percent)
+    merged = components(between).select(F.col("id").alias("component"), F.col("component").alias("p"))
+    labels = _extended(labels, between, merged)
 
     of_class = classes.select("digest", "id").join(labels, "id", "left")
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id")))
-    degrees = ends.groupBy("id").agg(F.count("*").alias("n_links"))
-    of_class = of_class.join(degrees, "id", "left").select(
-        "digest", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    of_class = of_class.select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     known = F.col("doc_id").isNotNull()
     component = F.when(known, F.coalesce("component_id", "doc_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "n_shingles", component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
@@ -251,14 +331,6 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _between(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links as pairs of components."""
-    left = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    joined = found.join(left, "a", "left").join(right, "b", "left")
-    return materialise(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-
-
 def _extended(labels: DataFrame, between: DataFrame, merged: DataFrame) -> DataFrame:
     """Labels after components were merged; ids that had no link so far come in as their own component."""
     ids = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
@@ -268,7 +340,7 @@ def _extended(labels: DataFrame, between: DataFrame, merged: DataFrame) -> DataF
 
 def near_dedup(documents: DataFrame) -> DataFrame:
     """Per document: the size of its set, its component, and whether it is the one kept."""
-    return near_duplicates(documents).drop("n_links")
+    return near_duplicates(documents)
 
 
 SQL = """
