@@ -172,10 +172,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     check = F.pandas_udf(linked, "boolean")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = texts.join(needed, "id", "left_semi")
+    # Both sides of these joins grow with the input: merged at every size, never broadcast where still small.
+    chosen = texts.join(needed.hint("merge"), "id", "left_semi")
     # The side met more often is joined last, so its texts arrive together.
-    joined = pairs.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    joined = pairs.hint("merge").join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    joined = joined.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     return joined.filter(check("tb", "ta")).select("a", "b").distinct()
 
 
@@ -280,8 +281,8 @@ def between_components(members: DataFrame, marks: DataFrame, texts: DataFrame, w
     schema = "key long, i int, j int, mover boolean, id long, component long"
     left = sides.join(marks, "id").select(into, *names, "mover", "signature", "bands")
     kept = materialise(left.groupBy("g").applyInPandas(near, schema))
-    wanted = texts.join(kept.select("id").distinct(), "id", "left_semi")
-    right = kept.join(wanted, "id").select(into, "key", "i", "j", "mover", "id", "component", "text")
+    wanted = texts.join(kept.select("id").distinct().hint("merge"), "id", "left_semi")
+    right = kept.join(wanted.hint("merge"), "id").select(into, "key", "i", "j", "mover", "id", "component", "text")
     return materialise(right.groupBy("g").applyInPandas(linked, "a long, b long").distinct())
 
 
