@@ -21,6 +21,8 @@ PEM_NEEDLE = "PRIVATE KEY-----"
 PEM_SAME_LINE = PEM_HEADER + r"[^A-Za-z0-9]{0,12}(?:n[^A-Za-z0-9]{0,12})?[A-Za-z0-9+/=]{40,}"
 PEM_BODY = r"^[^A-Za-z0-9]{0,12}(?:\\n)?[A-Za-z0-9+/=]{40,}(?:\\n|[^A-Za-z0-9]|$)"
 PEM_ATTRIBUTE = r"^(?:Proc-Type|DEK-Info|[A-Z][A-Za-z-]+): "
+# A key begins after at most so many blank lines: part of what the rule means.
+PEM_BLANKS = 2
 DATABASE_URL = (
     r"\b(?:postgres|postgresql|mysql|mariadb|mongodb|redis|rediss|amqp|amqps|mssql|sqlserver"
     r"|oracle|clickhouse)(?:\+[a-z0-9]+)?://[^\s:/@\"']*:([^\s/@\"']+)@"
@@ -143,14 +145,16 @@ def private_key_body(line: Column, after: Column) -> Column:
 
     def step(state: Column, x: Column) -> Column:
         blank, attribute = F.trim(x) == "", x.rlike(PEM_ATTRIBUTE)
+        blanks = state["blanks"] + F.when(blank, 1).otherwise(0)
         return F.when(state["done"], state).otherwise(
             F.struct(
-                (~(blank | attribute)).alias("done"),
+                (~(blank | attribute) | (blanks > PEM_BLANKS)).alias("done"),
                 (~(blank | attribute) & x.rlike(PEM_BODY)).alias("found"),
+                blanks.alias("blanks"),
             )
         )
 
-    start = F.struct(F.lit(False).alias("done"), F.lit(False).alias("found"))
+    start = F.struct(F.lit(False).alias("done"), F.lit(False).alias("found"), F.lit(0).alias("blanks"))
     later = F.aggregate(F.coalesce(after, F.array().cast("array<string>")), start, step, lambda s: s["found"])
     ends = line.rlike(PEM_HEADER + r"(?:\\n)?[\"']?\s*(?:\+\s*)?$")
     return line.rlike(PEM_SAME_LINE) | (ends & later)

@@ -52,7 +52,7 @@ def test_mcnemar_of_large_counts(spark):
 
 def test_secrets_past_many_lines_and_long_names(spark):
     header = "-----BEGIN RSA PRIVATE KEY-----"
-    after = [f"X-Attribute: {i}" for i in range(9)] + [""] * 4 + ["A" * 64]
+    after = [f"X-Attribute: {i}" for i in range(9)] + [""] * 2 + ["A" * 64]
     row = spark.createDataFrame([(header, after)], "line string, after array<string>")
     assert row.select(secrets.private_key_body(F.col("line"), F.col("after"))).first()[0]
     name = "a_" * 60 + "password"
