@@ -21,7 +21,9 @@ each n-gram crosses the network once per block.  A word goes to the shard of its
 context and one of ``SALTS`` parts of its successor, so that a context with a third of all tokens is spread.  There
 are as many shards as the texts need.
 
-Counts of words are exact (by the words themselves); contexts and successors are known by 64 and 32 bits of hash.
+Counts of words are exact (by the words themselves).  An n-gram is known to its shard by ``CONTEXT_BITS`` and
+``SUCCESSOR_BITS`` of hash of its two words; as shards are bounded, so is the chance that two are taken for one
+(about one n-gram in a few million).  A block sends its sorted n-grams in Elias-Fano form as well.
 
 Defined results: a null text is an empty one and scores its end token; where nothing was learnt, base and
 score are 0; rows are scored one by one, repeats too; null ids are not held out; a document longer than a block
@@ -30,6 +32,7 @@ is scored in parts; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import mmap
 import tempfile
 from collections import Counter
@@ -38,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -56,7 +60,10 @@ STEP = 12 / 65000
 MASSES = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 #: The end of a text; as a context, its start.
 END = b""
-SUCCESSOR_BITS = 32
+CONTEXT_BITS, SUCCESSOR_BITS = 22, 18
+KEY_BITS = CONTEXT_BITS + SUCCESSOR_BITS
+#: Block counts up to this are one byte; larger ones follow in a list.
+SMALL = 255
 
 
 class Trie:
@@ -83,7 +90,7 @@ class Trie:
         begins = np.searchsorted(parent, np.arange(len(names) + 1))
         data, header = bytearray(), {"n": len(starts)}
         for name, values, universe in (
-            ("contexts", names, 1 << 64), ("pointers", begins, len(starts) + 1), ("successors", raised, max(len(names), 1) << SUCCESSOR_BITS),
+            ("contexts", names, 1 << CONTEXT_BITS), ("pointers", begins, len(starts) + 1), ("successors", raised, max(len(names), 1) << SUCCESSOR_BITS),
         ):
             part, header[name] = EliasFano.build(values, universe)
             header[name]["offset"] = len(data)
@@ -97,11 +104,13 @@ class Trie:
         out = np.zeros(len(context), np.uint16)
         if not len(self.codes):
             return out
-        everywhere = np.zeros(len(context), np.int64)
-        node = self.contexts.successor(everywhere, everywhere + self.contexts.n, context)
-        live = np.flatnonzero(node < self.contexts.n)
-        live = live[self.contexts.access(node[live]) == context[live]]
-        node = node[live]
+        names, of = np.unique(context, return_inverse=True)  # a context is looked for once
+        everywhere = np.zeros(len(names), np.int64)
+        node = self.contexts.successor(everywhere, everywhere + self.contexts.n, names)
+        stored = node < self.contexts.n
+        stored[stored] = self.contexts.access(node[stored]) == names[stored]
+        live = np.flatnonzero(stored[of])
+        node = node[of[live]]
         begin, end = self.pointers.access(node).astype(np.int64), self.pointers.access(node + 1).astype(np.int64)
         wanted = node.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor[live].astype(np.uint64)
         at = self.successors.successor(begin, end, wanted)
@@ -134,82 +143,112 @@ def pair_codes(sequence: np.ndarray, kinds: int) -> np.ndarray:
     return sequence[:-1].astype(np.uint64) * np.uint64(kinds) + sequence[1:].astype(np.uint64)
 
 
-PART = (
+def placed(hashes: np.ndarray, codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's word pairs: the order by shard and key, and in that order the shards and the keys."""
+    kinds = np.uint64(len(hashes))
+    with np.errstate(over="ignore"):
+        context, successor = mixed(hashes), mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
+        left, right = (codes // kinds).astype(np.int64), (codes % kinds).astype(np.int64)
+        shard = mixed(hashes[left] + successor[right] % np.uint64(SALTS)) % np.uint64(shards)
+    key = context[left] >> np.uint64(64 - CONTEXT_BITS) << np.uint64(SUCCESSOR_BITS)
+    key |= successor[right] >> np.uint64(64 - SUCCESSOR_BITS)
+    both = shard << np.uint64(KEY_BITS) | key
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    return order, (both >> np.uint64(KEY_BITS)).astype(np.int64), both & np.uint64((1 << KEY_BITS) - 1)
+
+
+def small(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as bytes, and those that do not fit, in order, as 32-bit numbers."""
+    return np.minimum(counts, SMALL).astype(np.uint8).tobytes(), counts[counts >= SMALL].astype(np.uint32).tobytes()
+
+
+def counted(one: bytes, rest: bytes) -> np.ndarray:
+    counts = np.frombuffer(one, np.uint8).astype(np.int64)
+    counts[counts == SMALL] = np.frombuffer(rest, np.uint32)
+    return counts
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte place, which compresses better."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def joined(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+PART = {
+    "kind": pa.string(), "block": pa.int64(), "shard": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(),
+    **{name: pa.binary() for name in "abcdefg"}, "header": pa.string(),
+}
+PART_DDL = (
     "kind string, block long, shard int, row long, doc_id long, held_out boolean, a binary, b binary, c binary, d binary, "
-    "e binary, f binary, g binary"
+    "e binary, f binary, g binary, header string"
 )
-NAMES = [name.split()[0] for name in PART.split(", ")]
 
 
 def blocks(documents: DataFrame, shards: int) -> DataFrame:
-    """Texts read once.  Rows of kind ``doc`` (``a``: word numbers, after the first context), ``layout`` (``a``, ``b``: shards
-    of the block's words and pairs) and ``part`` (what a shard gets), written once.
+    """Texts read once.  Rows of kind ``doc`` (``a``: word numbers, after the first context), ``layout`` (``a``: hashes of the
+    block's words) and ``part`` (what a shard gets), written once.
     """
 
-    def flush(block: int, known: Numbers, docs: list) -> Iterator[pd.DataFrame]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*[(*row, *[None] * (len(PART) - len(row))) for row in rows], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PART.values(), strict=True)], list(PART))
+
+    def flush(block: int, known: Numbers, docs: list) -> Iterator[pa.RecordBatch]:
         words, kinds = list(known), len(known)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, kinds)
-        pairs = [pair_codes(sequence, kinds) for _, _, _, sequence in docs]
-        learnt = [p for p, (_, _, held, _) in zip(pairs, docs, strict=True) if not held]
-        codes = np.unique(np.concatenate(pairs))
-        pair_n = np.zeros(len(codes), np.uint32)
-        word_n = np.zeros(kinds, np.uint32)
+        codes = np.unique(np.concatenate([pair_codes(sequence, kinds) for _, _, _, sequence in docs]))
+        pair_n, word_n = np.zeros(len(codes), np.uint32), np.zeros(kinds, np.uint32)
+        learnt = [sequence for _, _, held, sequence in docs if not held]
         if learnt:
-            found, n = np.unique(np.concatenate(learnt), return_counts=True)
+            found, n = np.unique(np.concatenate([pair_codes(s, kinds) for s in learnt]), return_counts=True)
             pair_n[np.searchsorted(codes, found)] = n
-            for _, _, held, sequence in docs:
-                if not held:
-                    word_n += np.bincount(sequence[1:], minlength=kinds).astype(np.uint32)
-        context, follows = (codes // np.uint64(kinds)).astype(np.int64), (codes % np.uint64(kinds)).astype(np.int64)
-        successor = (hashes[follows] >> np.uint64(32)).astype(np.uint32)
-        with np.errstate(over="ignore"):
-            salted = mixed(hashes[context] + (successor % np.uint32(SALTS)).astype(np.uint64))
-        word_shard = (hashes % np.uint64(shards)).astype(np.uint32)
-        pair_shard = (salted % np.uint64(shards)).astype(np.uint32)
-        yield frame([("doc", block, None, row, doc_id, held, sequence.tobytes()) for row, doc_id, held, sequence in docs])
-        yield frame([("layout", block, None, None, None, None, word_shard.tobytes(), pair_shard.tobytes())])
-        word_order, pair_order = np.argsort(word_shard, kind="stable"), np.argsort(pair_shard, kind="stable")
+            word_n += np.bincount(np.concatenate([s[1:] for s in learnt]), minlength=kinds).astype(np.uint32)
+        for at in range(0, len(docs), 1000):
+            yield batch_of([("doc", block, None, row, doc_id, held, planes(s)) for row, doc_id, held, s in docs[at : at + 1000]])
+        yield batch_of([("layout", block, None, None, None, None, hashes.tobytes())])
+        order, pair_shard, keys = placed(hashes, codes, shards)
+        pair_n = pair_n[order]
+        word_shard = (hashes % np.uint64(shards)).astype(np.int64)
+        word_order = np.argsort(word_shard, kind="stable")
         word_ends = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
-        pair_ends = np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
+        pair_ends = np.searchsorted(pair_shard, np.arange(shards + 1))
         rows = []
         for shard in range(shards):
-            w = word_order[word_ends[shard] : word_ends[shard + 1]]
-            p = pair_order[pair_ends[shard] : pair_ends[shard + 1]]
-            if not len(w) and not len(p):
-                continue
+            w, p = word_order[word_ends[shard] : word_ends[shard + 1]], slice(pair_ends[shard], pair_ends[shard + 1])
             mine = [words[i] for i in w]
-            first = np.ones(len(p), bool)
-            first[1:] = context[p][1:] != context[p][:-1]
-            starts = np.flatnonzero(first)
-            lengths = np.fromiter(map(len, mine), np.uint32, len(mine))
-            runs = np.diff(np.append(starts, len(p))).astype(np.uint32)
-            parts = (lengths, word_n[w], hashes[context[p][starts]], runs, successor[p], pair_n[p])
-            rows.append(("part", block, shard, None, None, None, b"".join(mine), *[x.tobytes() for x in parts]))
-        yield frame(rows)
-
-    def frame(rows: list) -> pd.DataFrame:
-        made = pd.DataFrame([(*row, *[None] * (len(NAMES) - len(row))) for row in rows], columns=NAMES, dtype=object)
-        return made.astype({"block": "Int64", "shard": "Int32", "row": "Int64", "doc_id": "Int64", "held_out": "boolean"})
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if not mine and p.start == p.stop:
+                continue
+            data, header = EliasFano.build(keys[p], 1 << KEY_BITS)
+            lengths = small(np.fromiter(map(len, mine), np.int64, len(mine)))
+            header = json.dumps(header | {"offset": 0, "pairs": int(p.stop - p.start)})
+            pair_counts = b"".join(small(pair_n[p]))
+            rows.append(("part", block, shard, None, None, None, b"".join(mine), *lengths, *small(word_n[w]), data, pair_counts, header))
+        yield batch_of(rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, row = TaskContext.get().partitionId(), 0, 0
         known, docs, tokens = Numbers(), [], 0
         for batch in batches:
-            for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                words = [END, *encoded(text).lower().split(), END]
-                for start in range(0, len(words) - 1, BLOCK_TOKENS):
-                    part = words[start : start + BLOCK_TOKENS + 1]
-                    docs.append((task << 40 | row, doc_id, held, np.fromiter(map(known.__getitem__, part), np.uint32, len(part))))
-                    tokens += len(part)
-                    if tokens >= BLOCK_TOKENS or len(known) >= BLOCK_WORDS:
-                        yield from flush(task << 32 | number, known, docs)
-                        known, docs, tokens, number = Numbers(), [], 0, number + 1
-                row += 1
+            for at in range(0, batch.num_rows, 256):
+                for doc_id, held, text in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+                    words = [END, *encoded(text).lower().split(), END]
+                    for start in range(0, len(words) - 1, BLOCK_TOKENS):
+                        part = words[start : start + BLOCK_TOKENS + 1]
+                        docs.append((task << 40 | row, doc_id, held, np.fromiter(map(known.__getitem__, part), np.uint32, len(part))))
+                        tokens += len(part)
+                        if tokens >= BLOCK_TOKENS or len(known) >= BLOCK_WORDS:
+                            yield from flush(task << 32 | number, known, docs)
+                            known, docs, tokens, number = Numbers(), [], 0, number + 1
+                    row += 1
         if docs:
             yield from flush(task << 32 | number, known, docs)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), "text")
-    return materialise(rows.mapInPandas(read, PART), compression="zstd")
+    return materialise(rows.mapInArrow(read, PART_DDL), compression="zstd")
 
 
 ANSWER = "block long, shard int, counts binary, codes binary, tokens long, kinds long, once long, twice long"
@@ -218,26 +257,29 @@ ANSWER = "block long, shard int, counts binary, codes binary, tokens long, kinds
 def answered(parts: pd.DataFrame) -> pd.DataFrame:
     """One shard: totals of what all blocks sent, its trie, and the answer to every block."""
     totals: Counter = Counter()
-    lists, contexts, successors, counts = [], [], [], []
-    for _, part in parts.iterrows():
-        lengths = np.frombuffer(part["b"], np.uint32)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        words = [part["a"][end - length : end] for length, end in zip(lengths.tolist(), ends.tolist(), strict=True)]
-        for word, n in zip(words, np.frombuffer(part["c"], np.uint32).tolist(), strict=True):
+    lists, keys, counts = [], [], []
+    for part in parts.itertuples():
+        ends = np.cumsum(counted(part.b, part.c)).tolist()
+        words = [part.a[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+        for word, n in zip(words, counted(part.d, part.e).tolist(), strict=True):
             totals[word] += n
         lists.append(words)
-        contexts.append(np.repeat(np.frombuffer(part["d"], np.uint64), np.frombuffer(part["e"], np.uint32)))
-        successors.append(np.frombuffer(part["f"], np.uint32))
-        counts.append(np.frombuffer(part["g"], np.uint32))
-    context, successor, count = np.concatenate(contexts), np.concatenate(successors), np.concatenate(counts).astype(np.int64)
+        header = json.loads(part.header)
+        keys.append(EliasFano(part.f, header).access(np.arange(header["pairs"])) if header["pairs"] else np.zeros(0, np.uint64))
+        counts.append(counted(part.g[: header["pairs"]], part.g[header["pairs"] :]))
+    ends = np.cumsum([0, *map(len, keys)])
+    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(inverse, np.concatenate(counts), minlength=len(unique))
+    context, successor = unique >> np.uint64(SUCCESSOR_BITS), unique & np.uint64((1 << SUCCESSOR_BITS) - 1)
     seen = count > 0
     trie = mapped(*Trie.build(context[seen], successor[seen], count[seen]))
+    codes = trie.find(context, successor)[inverse]
     values = np.fromiter(totals.values(), np.int64, len(totals))
     facts = [int(values.sum()), int((values > 0).sum()), int((values == 1).sum()), int((values == 2).sum())]
     rows = []
-    for block, words, c, s in zip(parts["block"], lists, contexts, successors, strict=True):
+    for at, (block, words) in enumerate(zip(parts["block"], lists, strict=True)):
         own = np.fromiter(map(totals.__getitem__, words), np.uint64, len(words))
-        rows.append((block, parts["shard"].iloc[0], own.tobytes(), trie.find(c, s).tobytes(), *facts))
+        rows.append((block, parts["shard"].iloc[0], own.tobytes(), codes[ends[at] : ends[at + 1]].tobytes(), *facts))
         facts = [0, 0, 0, 0]  # a shard's facts stand on its first row alone
     return pd.DataFrame(rows, columns=[name.split()[0] for name in ANSWER.split(", ")])
 
@@ -268,19 +310,18 @@ class Facts:
         return np.where(count > 0, (count - self.discount) / self.tokens, unknown)
 
 
-def block_scores(docs: pd.DataFrame, answers: pd.DataFrame, facts: Facts) -> pd.DataFrame:
+def block_scores(docs: pd.DataFrame, answers: pd.DataFrame, facts: Facts, shards: int) -> pd.DataFrame:
     """Scores of a block's documents under every mass, and of the training ones with each token left out."""
-    layout = docs[docs["kind"] == "layout"].iloc[0]
+    hashes = np.frombuffer(docs[docs["kind"] == "layout"]["a"].iloc[0], np.uint64)
     docs = docs[docs["kind"] == "doc"]
     answers = answers.sort_values("shard")
-    word_shard, pair_shard = np.frombuffer(layout["a"], np.uint32), np.frombuffer(layout["b"], np.uint32)
-    count = np.empty(len(word_shard), np.int64)
-    count[np.argsort(word_shard, kind="stable")] = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["counts"]]).astype(np.int64)
-    code = np.empty(len(pair_shard), np.uint16)
-    code[np.argsort(pair_shard, kind="stable")] = np.concatenate([np.frombuffer(x, np.uint16) for x in answers["codes"]])
+    sequences = [joined(x) for x in docs["a"]]
+    codes = np.unique(np.concatenate([pair_codes(s, len(hashes)) for s in sequences]))
+    count, code = np.empty(len(hashes), np.int64), np.empty(len(codes), np.uint16)
+    sent = np.argsort((hashes % np.uint64(shards)).astype(np.int64), kind="stable")
+    count[sent] = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["counts"]]).astype(np.int64)
+    code[placed(hashes, codes, shards)[0]] = np.concatenate([np.frombuffer(x, np.uint16) for x in answers["codes"]])
     pair_count = restored(code)
-    sequences = [np.frombuffer(x, np.uint32) for x in docs["a"]]
-    codes = np.unique(np.concatenate([pair_codes(s, len(count)) for s in sequences]))
     base, share, less = facts.base_logs(count), facts.word_share(count), facts.word_share(np.maximum(count - 1, 0))
     out = []
     for row, doc_id, held, sequence in zip(docs["row"], docs["doc_id"], docs["held_out"], sequences, strict=True):
@@ -300,15 +341,16 @@ def block_scores(docs: pd.DataFrame, answers: pd.DataFrame, facts: Facts) -> pd.
 def score(documents: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row."""
     chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    read = blocks(documents, max(LEAST_SHARDS, 1 + chars // SHARD_CHARS))
-    parts = read.filter("kind = 'part'").select("block", "shard", *"abcdefg")
+    shards = max(LEAST_SHARDS, 1 + chars // SHARD_CHARS)
+    read = blocks(documents, shards)
+    parts = read.filter("kind = 'part'").select("block", "shard", *"abcdefg", "header")
     answers = materialise(parts.groupBy("shard").applyInPandas(answered, ANSWER), compression="zstd")
     facts = Facts.of(answers)
-    docs = read.filter("kind <> 'part'").select("kind", "block", "row", "doc_id", "held_out", "a", "b")
+    docs = read.filter("kind <> 'part'").select("kind", "block", "row", "doc_id", "held_out", "a")
     back = answers.select(F.col("block").alias("of"), "shard", "counts", "codes")
 
     def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return block_scores(left, right, facts)
+        return block_scores(left, right, facts, shards)
 
     schema = (
         "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, grid array<double>, "
