@@ -58,6 +58,8 @@ SHARD_CHARS, LEAST_SHARDS = 12_000_000, 12
 SALTS = 256
 STEP = 12 / 65000
 MASSES = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
+#: Tokens of a block scored at once.
+TOGETHER = 300_000
 #: The end of a text; as a context, its start.
 END = b""
 CONTEXT_BITS, SUCCESSOR_BITS = 22, 18
@@ -145,7 +147,7 @@ def pair_codes(sequence: np.ndarray, kinds: int) -> np.ndarray:
 
 def placed(hashes: np.ndarray, codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's word pairs: the order by shard and key, and in that order the shards and the keys."""
-    kinds = np.uint64(len(hashes))
+    kinds, hashes = np.uint64(len(hashes)), hashes.astype(np.uint64)
     with np.errstate(over="ignore"):
         context, successor = mixed(hashes), mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
         left, right = (codes // kinds).astype(np.int64), (codes % kinds).astype(np.int64)
@@ -169,28 +171,36 @@ def counted(one: bytes, rest: bytes) -> np.ndarray:
     return counts
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers by byte place, which compresses better."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte place, compressed."""
+    import zstandard
 
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
-def joined(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+def restored_numbers(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
 
 
 PART = {
-    "kind": pa.string(), "block": pa.int64(), "shard": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(),
+    "kind": pa.string(), "block": pa.int64(), "shard": pa.int32(),
     **{name: pa.binary() for name in "abcdefg"}, "header": pa.string(),
 }
 PART_DDL = (
-    "kind string, block long, shard int, row long, doc_id long, held_out boolean, a binary, b binary, c binary, d binary, "
-    "e binary, f binary, g binary, header string"
+    "kind string, block long, shard int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, header string"
 )
 
 
 def blocks(documents: DataFrame, shards: int) -> DataFrame:
-    """Texts read once.  Rows of kind ``doc`` (``a``: word numbers, after the first context), ``layout`` (``a``: hashes of the
-    block's words) and ``part`` (what a shard gets), written once.
+    """Texts read once.  Rows of kind ``doc`` (documents of a block: ``a`` word numbers, each after its first context, ``b``
+    lengths, ``c`` rows, ``d`` ids, ``e`` 1 if held out, 2 if without id), ``layout`` (``a``: hashes of the block's
+    words) and ``part`` (what a shard gets), written once.
     """
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -199,7 +209,7 @@ def blocks(documents: DataFrame, shards: int) -> DataFrame:
 
     def flush(block: int, known: Numbers, docs: list) -> Iterator[pa.RecordBatch]:
         words, kinds = list(known), len(known)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, kinds)
+        hashes = word_hashes(words)
         codes = np.unique(np.concatenate([pair_codes(sequence, kinds) for _, _, _, sequence in docs]))
         pair_n, word_n = np.zeros(len(codes), np.uint32), np.zeros(kinds, np.uint32)
         learnt = [sequence for _, _, held, sequence in docs if not held]
@@ -208,11 +218,17 @@ def blocks(documents: DataFrame, shards: int) -> DataFrame:
             pair_n[np.searchsorted(codes, found)] = n
             word_n += np.bincount(np.concatenate([s[1:] for s in learnt]), minlength=kinds).astype(np.uint32)
         for at in range(0, len(docs), 1000):
-            yield batch_of([("doc", block, None, row, doc_id, held, planes(s)) for row, doc_id, held, s in docs[at : at + 1000]])
-        yield batch_of([("layout", block, None, None, None, None, hashes.tobytes())])
+            rows, ids, flags, sequences = zip(*docs[at : at + 1000], strict=True)
+            flags = [bool(held) + 2 * (doc_id is None) for held, doc_id in zip(flags, ids, strict=True)]
+            about = (
+                np.array(list(map(len, sequences)), np.uint32), np.array(rows, np.int64), np.array([i or 0 for i in ids], np.int64),
+                np.array(flags, np.uint8),
+            )
+            yield batch_of([("doc", block, None, squeezed(np.concatenate(sequences)), *[x.tobytes() for x in about])])
+        yield batch_of([("layout", block, None, hashes.tobytes())])
         order, pair_shard, keys = placed(hashes, codes, shards)
         pair_n = pair_n[order]
-        word_shard = (hashes % np.uint64(shards)).astype(np.int64)
+        word_shard = (hashes % np.uint32(shards)).astype(np.int64)
         word_order = np.argsort(word_shard, kind="stable")
         word_ends = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
         pair_ends = np.searchsorted(pair_shard, np.arange(shards + 1))
@@ -226,7 +242,7 @@ def blocks(documents: DataFrame, shards: int) -> DataFrame:
             lengths = small(np.fromiter(map(len, mine), np.int64, len(mine)))
             header = json.dumps(header | {"offset": 0, "pairs": int(p.stop - p.start)})
             pair_counts = b"".join(small(pair_n[p]))
-            rows.append(("part", block, shard, None, None, None, b"".join(mine), *lengths, *small(word_n[w]), data, pair_counts, header))
+            rows.append(("part", block, shard, b"".join(mine), *lengths, *small(word_n[w]), data, pair_counts, header))
         yield batch_of(rows)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,32 +328,50 @@ class Facts:
 
 def block_scores(docs: pd.DataFrame, answers: pd.DataFrame, facts: Facts, shards: int) -> pd.DataFrame:
     """Scores of a block's documents under every mass, and of the training ones with each token left out."""
-    hashes = np.frombuffer(docs[docs["kind"] == "layout"]["a"].iloc[0], np.uint64)
-    docs = docs[docs["kind"] == "doc"]
+    hashes = np.frombuffer(docs[docs["kind"] == "layout"]["a"].iloc[0], np.uint32)
     answers = answers.sort_values("shard")
-    sequences = [joined(x) for x in docs["a"]]
-    codes = np.unique(np.concatenate([pair_codes(s, len(hashes)) for s in sequences]))
+    sequences, about = [], []
+    for part in docs[docs["kind"] == "doc"].itertuples():
+        ends = np.cumsum(np.frombuffer(part.b, np.uint32), dtype=np.int64)
+        sequences += np.split(restored_numbers(part.a), ends[:-1])
+        fields = (np.frombuffer(part.c, np.int64), np.frombuffer(part.d, np.int64), np.frombuffer(part.e, np.uint8))
+        about += zip(*[x.tolist() for x in fields], strict=True)
+    codes, inverse = np.unique(np.concatenate([pair_codes(s, len(hashes)) for s in sequences]), return_inverse=True)
     count, code = np.empty(len(hashes), np.int64), np.empty(len(codes), np.uint16)
-    sent = np.argsort((hashes % np.uint64(shards)).astype(np.int64), kind="stable")
+    sent = np.argsort((hashes % np.uint32(shards)).astype(np.int64), kind="stable")
     count[sent] = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["counts"]]).astype(np.int64)
     code[placed(hashes, codes, shards)[0]] = np.concatenate([np.frombuffer(x, np.uint16) for x in answers["codes"]])
     pair_count = restored(code)
     base, share, less = facts.base_logs(count), facts.word_share(count), facts.word_share(np.maximum(count - 1, 0))
-    out = []
-    for row, doc_id, held, sequence in zip(docs["row"], docs["doc_id"], docs["held_out"], sequences, strict=True):
-        word, context = sequence[1:], count[sequence[:-1]]
-        pair = pair_count[np.searchsorted(codes, pair_codes(sequence, len(count)))]
-        p = share[word]
-        grid = [float(np.log10((pair + mass * p) / (context + mass)).sum()) for mass in MASSES]
-        loo = None
-        if not held:
-            p, pair, context = less[word], np.maximum(pair - 1, 0), np.maximum(context - 1, 0)
-            loo = [float(np.log10((pair + mass * p) / (context + mass)).sum()) for mass in MASSES]
-        out.append((row, doc_id, held, len(word), int((count[word] > 0).sum()), float(base[word].sum()), grid, loo))
+    out, done, at = [], 0, 0
+    while at < len(sequences):
+        # Documents of about ``TOGETHER`` tokens at once.
+        end, tokens = at, 0
+        while end < len(sequences) and (end == at or tokens < TOGETHER):
+            tokens += len(sequences[end]) - 1
+            end += 1
+        part = sequences[at:end]
+        starts = np.concatenate([[0], np.cumsum([len(s) - 1 for s in part])[:-1]])
+        word, context = np.concatenate([s[1:] for s in part]), count[np.concatenate([s[:-1] for s in part])]
+        pair = pair_count[inverse[done : done + tokens]]
+        grid = _logs(pair, share[word], context, starts)
+        loo = _logs(np.maximum(pair - 1, 0), less[word], np.maximum(context - 1, 0), starts)
+        known, bases = np.add.reduceat((count[word] > 0).astype(np.int64), starts), np.add.reduceat(base[word], starts)
+        for i, (row, doc_id, flags) in enumerate(about[at:end]):
+            held = bool(flags & 1)
+            left_out = None if held else loo[i].tolist()
+            facts_of = (len(part[i]) - 1, int(known[i]), float(bases[i]), grid[i].tolist(), left_out)
+            out.append((row, None if flags & 2 else doc_id, held, *facts_of))
+        done, at = done + tokens, end
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "grid", "loo"]
     return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
 
+def _logs(pair: np.ndarray, share: np.ndarray, context: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 probabilities of documents (rows) under every mass (columns)."""
+    return np.stack([np.add.reduceat(np.log10((pair + mass * share) / (context + mass)), starts) for mass in MASSES], axis=1)
+
+
 def score(documents: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row."""
     chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -346,7 +380,7 @@ def score(documents: DataFrame) -> DataFrame:
     parts = read.filter("kind = 'part'").select("block", "shard", *"abcdefg", "header")
     answers = materialise(parts.groupBy("shard").applyInPandas(answered, ANSWER), compression="zstd")
     facts = Facts.of(answers)
-    docs = read.filter("kind <> 'part'").select("kind", "block", "row", "doc_id", "held_out", "a")
+    docs = read.filter("kind <> 'part'").select("kind", "block", *"abcde")
     back = answers.select(F.col("block").alias("of"), "shard", "counts", "codes")
 
     def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
