@@ -16,7 +16,8 @@ SOME = (
     "roc_auc", "export_sarif", "export_report_text", "quality_gate", "outcomes_hash",
 )
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-CHOSEN = tuple(ORACLES) if os.environ.get("RISKWEAVE_ALL") else SOME
+# The training operators have their own tests.
+CHOSEN = tuple(n for n in ORACLES if not n.startswith("op")) if os.environ.get("RISKWEAVE_ALL") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def duck():
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_agrees_with_its_sql(spark, duck, name):
-    assert compare(spark, duck, FOLDER, QUERIES[name], ORACLES[name]) in (None, "empty")
+    assert compare(spark, duck, FOLDER, QUERIES[name], ORACLES[name]) is None
 
 
 def test_entry(spark):
