@@ -43,6 +43,9 @@ BROADCAST_ROWS = 1_000_000
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters beyond visible ASCII, common white space and Latin letters.
 BEYOND = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
+#: White space that ``\s+(?!\S)`` would keep on one stack; the lookbehind keeps the search linear.
+LONG_RUN = 100_000
+RUN = re.compile(f"(?<![\t\n\r ])[\t\n\r ]{{{LONG_RUN}}}")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,8 +65,9 @@ class Ids:
     """Ids of texts by a byte-level BPE tokenizer.
 
     With ``ranks``, the same vocabulary as ranked byte strings, plain Latin text is encoded by them: the result is the same
-    and several times faster.  Text with characters in which two libraries' character classes might differ, or with
-    one of the tokenizer's special strings, goes to the tokenizer itself.
+    and several times faster.  Text with characters in which two libraries' character classes might differ, with
+    one of the tokenizer's special strings, or with a run of ``LONG_RUN`` white space, on which the ranked encoder's
+    pattern overflows its stack (at about a million), goes to the tokenizer itself.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
@@ -80,11 +84,17 @@ class Ids:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    def plain(self, text: str) -> bool:
+        """Whether the ranked encoder gives the tokenizer's ids of a text."""
+        if BEYOND.search(text) or any(token in text for token in self.special):
+            return False
+        return len(text) < LONG_RUN or RUN.search(text) is None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Unsigned 32-bit little-endian ids of each text."""
         out: list[bytes] = []
         for text in texts:
-            if self.ranked and BEYOND.search(text) is None and not any(token in text for token in self.special):
+            if self.ranked and self.plain(text):
                 ids = self.ranked.encode_ordinary(text)
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -322,6 +322,16 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\r", " \n"])
+def test_long_runs_of_white_space_are_encoded(space):
+    # The ranked encoder's pattern overflows its stack beyond a million.
+    encoder = packing_mbs.Ids(*packing_mbs.default_tokenizer())
+    text = "x" + space * (1_200_000 // len(space)) + "y"
+    ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids
+    assert encoder.plain("x" + space * 1000 + "y") and encoder.plain("word " * 50_000)
+
+
 @pytest.mark.parametrize(
     "counts", [{700: 1000}, {1024: 3}, {5: 1}, {512: 3, 100: 7}, {1023: 50, 1: 3}, {n: n % 7 for n in range(1, 1024)}, {}]
 )
