@@ -5,7 +5,8 @@ from patterns to the quotas of their sources; a pattern's first, second and thir
 with rising (convex) costs, so repetition is spread before any document is used again.  The flow says how many
 words of each pattern are taken; which documents is a seeded choice: all of them as often as whole uses
 say, and for the rest those of least seeded hash, up to the words left, then of the next ``OFFERED`` documents
-that fit into what is still missing, the largest first.
+that fit into what is still missing, the largest first; while others still fit, the cut and this choice are repeated
+over them.  So what a pattern misses is less than any unused document of it (that isn't used once more already).
 
 Per-document work is one pass for sizes, one histogram of (pattern, hash bucket) and one running sum over the
 single bucket in which a pattern's cut lies; no document is ever sorted with the rest of its source.  What
@@ -26,6 +27,8 @@ import heapq
 import json
 from collections import defaultdict
 from fractions import Fraction
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,7 +163,7 @@ def sized(documents: DataFrame, members: Column, text: str = "text", doc_id: str
     )
 
 
-def plan(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+def plan(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> tuple[Cuts, DataFrame]:
     """Per pattern: whole uses and the seeded cut; per source: its words and its target."""
     spark = sizes.sparkSession
     rows = sizes.groupBy("pattern").agg(F.sum("size").alias("size")).collect()  # one row per pattern
@@ -189,9 +192,16 @@ def bucket(hashed: Column) -> Column:
     return F.shiftright(hashed, 52) + F.lit(BUCKETS // 2)
 
 
-def _cuts(sizes: DataFrame, uses: DataFrame) -> DataFrame:
-    """``pattern, whole, cut_hash, cut_id, extra``: documents up to the cut, and those in ``extra`` are used once more."""
-    at = sizes.withColumn("bucket", bucket(F.col("hash")))
+class Cuts(NamedTuple):
+    """Which documents are used once more: those up to their pattern's cut, and ``extras`` (``pattern, doc_id``)."""
+
+    cuts: DataFrame
+    extras: DataFrame
+
+
+def _cut(at: DataFrame, uses: DataFrame) -> DataFrame:
+    """``pattern, rest, got, cut_hash, cut_id, inclusive`` of the patterns with more than ``rest`` words in ``at``."""
+    at = at.withColumn("bucket", bucket(F.col("hash")))
     histogram = at.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
     upto = F.expr("sum(n) over (partition by pattern order by bucket)")
     crossing = histogram.withColumn("upto", upto).join(uses.filter("rest > 0"), "pattern").filter("upto > rest")
@@ -208,21 +218,54 @@ def _cuts(sizes: DataFrame, uses: DataFrame) -> DataFrame:
         F.coalesce("l.hash", F.shiftleft(F.col("bucket").cast("long") - BUCKETS // 2, 52)).alias("cut_hash"),
         F.col("l.id").alias("cut_id"), F.col("l").isNotNull().alias("inclusive"),
     )
-    gap = F.col("rest") - F.col("got")
-    others = at.groupBy("pattern", "hash", "doc_id").agg(F.sum("size").alias("size")).join(cuts, "pattern")
-    others = others.filter(~before_cut() & (F.col("size") > 0) & (F.col("size") <= gap))
+    return materialise(cuts)
+
+
+def _filled(others: DataFrame) -> DataFrame:
+    """Of the first ``OFFERED`` documents of each pattern, the largest that fit its ``gap``: ``pattern, ids, left, n, last``."""
     nth = F.row_number().over(Window.partitionBy("pattern").orderBy("hash", "doc_id"))
     offered = others.withColumn("nth", nth).filter(F.col("nth") <= OFFERED).groupBy("pattern").agg(
         F.sort_array(F.collect_list(F.struct("size", "hash", F.struct("doc_id").alias("id"))), asc=False).alias("offers"),
-        F.first(gap).alias("gap"),
-    )
+        F.first("gap").alias("gap"), F.count("*").alias("n"), F.max(F.struct("hash", "doc_id")).alias("last"),
+    )
     filled = F.expr(
         """aggregate(offers, named_struct('left', gap, 'ids', transform(slice(offers, 1, 0), x -> x.id)),
            (a, x) -> if(x.size <= a.left, named_struct('left', a.left - x.size, 'ids', concat(a.ids, array(x.id))), a))"""
     )
-    extras = offered.select("pattern", filled["ids"].alias("extra"))
-    cuts = cuts.join(extras, "pattern", "left").select("pattern", "cut_hash", "cut_id", "inclusive", "extra")
-    return materialise(uses.join(cuts, "pattern", "left"))
+    return materialise(offered.withColumn("f", filled).select("pattern", "f.ids", "f.left", "n", "last"))
+
+
+def _cuts(sizes: DataFrame, uses: DataFrame) -> Cuts:
+    """The seeded cut, and the documents after it that fill what is still missing, until none fits.
+
+    The cut stops before the first document that would pass it.  Of those after it that fit the gap the first ``OFFERED``
+    are tried; where more than they are needed, the cut is repeated over the others that fit, and so on.
+    """
+    cuts = _cut(sizes, uses)
+    others = sizes.groupBy("pattern", "hash", "doc_id").agg(F.sum("size").alias("size")).join(cuts, "pattern")
+    gap = F.col("rest") - F.col("got")
+    fits = ~before_cut() & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    names = ("pattern", "hash", "doc_id", "size", "gap")
+    others = materialise(others.withColumn("gap", gap).filter(fits).select(*names))
+    extras = []
+    while True:
+        filled = _filled(others)
+        extras.append(filled.select("pattern", F.explode("ids").alias("id")).select("pattern", "id.doc_id"))
+        # All that were offered have been taken or do not fit any more.
+        state = filled.filter((F.col("n") == OFFERED) & (F.col("left") > 0)).select("pattern", "left", "last")
+        after = others.drop("gap").join(F.broadcast(state), "pattern").filter("struct(hash, doc_id) > last and size <= left")
+        after = materialise(after.select("pattern", "hash", "doc_id", "size", F.col("left").alias("gap")))
+        if after.isEmpty():
+            break
+        wanted = after.groupBy("pattern").agg(F.first("gap").alias("rest"))
+        marked = after.join(F.broadcast(_cut(after, wanted)), "pattern", "left")
+        # A pattern without a cut has no more than is wanted: all are taken.
+        extras.append(marked.filter(F.col("rest").isNull() | before_cut()).select("pattern", "doc_id"))
+        others = materialise(marked.filter("rest is not null").withColumn("gap", gap).filter(fits).select(*names))
+        if others.isEmpty():
+            break
+    table = materialise(uses.join(cuts.drop("rest", "got"), "pattern", "left"))
+    return Cuts(table, materialise(reduce(DataFrame.unionAll, extras)))
 
 
 def before_cut() -> Column:
@@ -232,12 +275,14 @@ def before_cut() -> Column:
     return F.coalesce((F.col("hash") < F.col("cut_hash")) | (same & F.coalesce(upto, F.lit(False))), F.lit(False))
 
 
-def copies(sizes: DataFrame, cuts: DataFrame) -> DataFrame:
+def copies(sizes: DataFrame, cuts: Cuts) -> DataFrame:
     """``sizes`` with ``copies``: how often the mix uses each document."""
-    extra = F.coalesce(F.exists("extra", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id"))), F.lit(False))
-    once_more = F.when(before_cut() | extra, 1).otherwise(0)
-    used = sizes.join(cuts, "pattern").withColumn("copies", (F.col("whole") + once_more).cast("long"))
-    return used.drop("whole", "rest", "cut_hash", "cut_id", "inclusive", "extra")
+    extras = cuts.extras.select(F.col("pattern").alias("_pattern"), F.col("doc_id").alias("_id"), F.lit(True).alias("_extra"))
+    used = sizes.join(cuts.cuts, "pattern")
+    used = used.join(extras, (F.col("pattern") == F.col("_pattern")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    once_more = F.when(before_cut() | F.col("_extra").isNotNull(), 1).otherwise(0)
+    used = used.withColumn("copies", (F.col("whole") + once_more).cast("long"))
+    return used.drop("whole", "rest", "cut_hash", "cut_id", "inclusive", "_pattern", "_id", "_extra")
 
 
 def mixing(documents: DataFrame) -> DataFrame:

@@ -269,6 +269,21 @@ def test_mix_edges(spark):
     assert mixing_flow.mixing(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_fills_the_gap_before_a_long_document(spark, monkeypatch):
+    # One long document and many short ones: the seeded cut stops before the long one, far from the target.
+    monkeypatch.setattr(mixing_flow, "OFFERED", 8)
+    texts = {i: 200 + i % 3 for i in range(1, 301)}
+    for long_id in (0, 1000):
+        lengths = texts | {long_id: 50_000}
+        rows = [(i, "w " * n, "s") for i, n in lengths.items()]
+        sizes = mixing_flow.materialise(mixing_flow.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.array("source")))
+        for rest in (30_000, 55_000):
+            uses = spark.createDataFrame([('["s"]', 0, rest)], "pattern string, whole long, rest long")
+            out = mixing_flow.copies(sizes, mixing_flow._cuts(sizes, uses)).collect()
+            taken, unused = sum(r["size"] * r["copies"] for r in out), [r["size"] for r in out if not r["copies"]]
+            assert len(out) == 301 and taken <= rest and rest - taken < min(unused), (long_id, rest)
+
+
 # ---- near duplicates
 
 
