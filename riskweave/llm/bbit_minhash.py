@@ -15,7 +15,8 @@ outside the largest one (movers) have to meet the others.  They do so in cells o
 ``CHUNK`` members: signatures are compared as a matrix, and only members with a near enough partner go on, with
 their texts, to the same cell, where full sets are compared as a matrix.  A cell returns at most one link for two
 components.  So rows are linear in a bucket (times its chunks), yet every candidate pair between components has
-been compared, and the components are those of all candidate pairs.
+been compared, and the components are those of all candidate pairs.  A task holds one group of cells at a time; groups
+are counted on the copied rows and on the characters of their texts, so a group has a few cells whatever the bucket.
 
 Bands and rows are chosen so that a pair at the threshold misses every band with probability at most ``MISS``
 (4e-7 at 0.85 with 25 bands of 5; 5e-8 at 0.80 with 32 of 4).
@@ -45,8 +46,8 @@ HASHES = 128
 BITS = 4
 SIGMAS = 6.0
 MISS = 1e-6
-#: Movers and members of a cell, at most, and rows of the groups that cells are put together in.
-CHUNK, GROUP_ROWS = 512, 4000
+#: Movers and members of a cell, on average at most, and rows and characters of text of the groups that cells are put together in.
+CHUNK, GROUP_ROWS, GROUP_CHARS = 512, 4000, 32_000_000
 PER_LONG = 64 // BITS
 LOW = (1 << BITS) - 1
 
@@ -104,7 +105,7 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands, signature`` per row; the last three null for an empty set."""
+    """``doc_id, n_shingles, chars, digest, bands, signature`` per row; the last three null for an empty set."""
     bands, rows = bands_for(threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,16 +115,16 @@ def signatures(documents: DataFrame, width: int, threshold: float) -> DataFrame:
             for text in batch["text"]:
                 members = shingles(text, width, hashes)
                 if not len(members):
-                    out.append((0, None, None, None))
+                    out.append((0, len(text or ""), None, None, None))
                     continue
                 least = minima(members)
                 digest = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
-                out.append((len(members), digest, band_keys(least, bands, rows), packed(least)))
-            made = pd.DataFrame(out, columns=["n_shingles", "digest", "bands", "signature"])
+                out.append((len(members), len(text), digest, band_keys(least, bands, rows), packed(least)))
+            made = pd.DataFrame(out, columns=["n_shingles", "chars", "digest", "bands", "signature"])
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield made
 
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, signature array<long>"
+    schema = "doc_id long, n_shingles long, chars long, digest binary, bands array<long>, signature array<long>"
     return materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, schema))
 
 
@@ -216,7 +217,7 @@ def near_in_cells(group: pd.DataFrame, least: float) -> pd.DataFrame:
         for band in range(int(left["band"].iloc[0])):
             near &= a[:, band][:, None] != b[:, band][None]
         kept += [left[near.any(axis=1)], right[near.any(axis=0)]]
-    columns = ["key", "i", "j", "mover", "id", "component"]
+    columns = ["key", "i", "j", "mover", "id", "component", "chars"]
     return pd.concat(kept)[columns] if kept else group.iloc[:0][columns]
 
 
@@ -251,6 +252,15 @@ def links_in_cells(group: pd.DataFrame, width: int, percent: int) -> pd.DataFram
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
+def groups_for(rows: int, chars: int = 0) -> int:
+    """So many groups that one has about ``GROUP_ROWS`` rows and ``GROUP_CHARS`` characters at most, or one cell."""
+    return 1 + max(rows // GROUP_ROWS, chars // GROUP_CHARS)
+
+
+def _group(groups: int) -> Column:
+    return F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")
+
+
 def between_components(members: DataFrame, marks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b``: components with a link between them, from buckets ``(key, band, id, component)``."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -258,18 +268,19 @@ def between_components(members: DataFrame, marks: DataFrame, texts: DataFrame, w
         F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("m")
     )
     spans = spans.filter("parts > 1").select(
-        "key", F.col("top.component").alias("top"), F.ceil(F.col("m") / CHUNK).cast("int").alias("right"),
+        "key", F.col("top.component").alias("top"), "m", (F.col("m") - F.col("top.n")).alias("moving"), F.ceil(F.col("m") / CHUNK).cast("int").alias("right"),
         F.ceil((F.col("m") - F.col("top.n")) / CHUNK).cast("int").alias("left"),
     )
-    rows = materialise(members.join(spans, "key"))
+    spans = materialise(spans)
+    rows = materialise(members.join(spans.drop("m", "moving"), "key"))
     place = F.xxhash64("id", F.lit(3))
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     movers = rows.filter("component <> top").withColumn("i", F.pmod(place, F.col("left")).cast("int")).withColumn("j", every("right"))
     others = rows.withColumn("j", F.pmod(place, F.col("right")).cast("int")).withColumn("i", every("left"))
     names = ["key", "band", "i", "j", "id", "component"]
     sides = movers.select(*names, F.lit(True).alias("mover")).unionByName(others.select(*names, F.lit(False).alias("mover")))
-    groups = 1 + rows.count() // GROUP_ROWS
-    into = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")
+    # Groups follow the rows after they have been copied to their cells.
+    copied = spans.agg(F.sum(F.expr("moving * right + m * left"))).first()[0] or 0
     least = floor_of(percent / 100)
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
@@ -278,10 +289,12 @@ def between_components(members: DataFrame, marks: DataFrame, texts: DataFrame, w
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         return links_in_cells(group, width, percent)
 
-    schema = "key long, i int, j int, mover boolean, id long, component long"
-    left = sides.join(marks, "id").select(into, *names, "mover", "signature", "bands")
+    schema = "key long, i int, j int, mover boolean, id long, component long, chars long"
+    left = sides.join(marks, "id").select(_group(groups_for(copied)), *names, "mover", "signature", "bands", "chars")
     kept = materialise(left.groupBy("g").applyInPandas(near, schema))
     wanted = texts.join(kept.select("id").distinct().hint("merge"), "id", "left_semi")
+    met = kept.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    into = _group(groups_for(*met))
     right = kept.join(wanted.hint("merge"), "id").select(into, "key", "i", "j", "mover", "id", "component", "text")
     return materialise(right.groupBy("g").applyInPandas(linked, "a long, b long").distinct())
 
@@ -292,8 +305,9 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) ->
     signed = signatures(documents, width, threshold)
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("digest", "n_shingles").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
-    )
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"),
+        F.max("chars").alias("chars"),
+    )
     classes = materialise(classes)
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
     entries = classes.select("id", F.posexplode("bands").alias("band", "key"))
@@ -311,7 +325,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) ->
     # Buckets that still span several components; in a bucket of two the pair has been compared.
     members = shared.filter("n > 2").join(labels, "id", "left")
     members = members.select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    marks = classes.select("id", "signature", "bands")
+    marks = classes.select("id", "signature", "bands", "chars")
     between = between_components(members, marks, texts, width, percent)
     merged = components(between).select(F.col("id").alias("component"), F.col("component").alias("p"))
     labels = _extended(labels, between, merged)

@@ -324,6 +324,24 @@ def test_buckets_of_many_components(spark, monkeypatch):
     assert out == {i: i % 5 for i in range(15)}
 
 
+def test_groups_of_cells_stay_bounded(spark, monkeypatch):
+    # One bucket of many components: its rows are copied to many cells, and so are the texts of those that are near.
+    monkeypatch.setattr(bbit_minhash, "CHUNK", 4)
+    monkeypatch.setattr(bbit_minhash, "GROUP_ROWS", 16)
+    monkeypatch.setattr(bbit_minhash, "GROUP_CHARS", 4000)
+    asked, plain = [], bbit_minhash.groups_for
+    monkeypatch.setattr(bbit_minhash, "groups_for", lambda *n: asked.append((n, plain(*n))) or asked[-1][1])
+    n = 60
+    members = spark.createDataFrame([(7, 0, i, i) for i in range(n)], "key long, band int, id long, component long")
+    marks = spark.createDataFrame([(i, [0] * 8, [i], 500) for i in range(n)], "id long, signature array<long>, bands array<long>, chars long")
+    texts = spark.createDataFrame([(i, f"a{i // 2} b{i // 2} c{i // 2}") for i in range(n)], "id long, text string")
+    out = {(r["a"], r["b"]) for r in bbit_minhash.between_components(members, marks, texts, 3, 85).collect()}
+    assert out == {(i + 1, i) for i in range(0, n, 2)}
+    (first, groups), (second, text_groups) = asked
+    assert first == (59 * 15 + 60 * 15,) and first[0] / groups <= 16
+    assert second[1] == 500 * second[0] and second[1] / text_groups <= 4000
+
+
 # ---- packing
 
 
