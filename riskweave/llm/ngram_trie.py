@@ -18,12 +18,15 @@ numbers its distinct words and word pairs and sends each shard its part, with th
 what all blocks sent, builds its trie, and answers every block's words and pairs in the order they came; the
 block's documents are scored against the answers.  So a block's list is contribution and query in one, and
 each n-gram crosses the network once per block.  A word goes to the shard of its hash; a pair to that of its
-context and one of ``SALTS`` parts of its successor, so that a context with a third of all tokens is spread.  There
-are as many shards as the texts need.
+context's hash and its successor's, so that a context with a third of all tokens is spread over all shards.  There are
+as many shards as the texts need.
 
 Counts of words are exact (by the words themselves).  An n-gram is known to its shard by ``CONTEXT_BITS`` and
-``SUCCESSOR_BITS`` of hash of its two words; as shards are bounded, so is the chance that two are taken for one
-(about one n-gram in a few million).  A block sends its sorted n-grams in Elias-Fano form as well.
+``SUCCESSOR_BITS`` of 64-bit hashes of its two words.  Two n-grams of one context are taken for one only if they lie in
+one shard and agree in the successor's 32 bits: of ``D`` distinct successors about ``D / (S * 2^32)`` share a key, where
+``S`` is the number of shards (at least 12, and rising with the text).  For the hottest context that is 2 in 100,000 at 1
+million successors on 12 shards; of a shard of ``n`` n-grams of other contexts about ``n / 2^54`` more.  A block sends its
+sorted n-grams in Elias-Fano form as well.
 
 Defined results: a null text is an empty one and scores its end token; where nothing was learnt, base and
 score are 0; rows are scored one by one, repeats too; null ids are not held out; a document longer than a block
@@ -55,14 +58,13 @@ BLOCK_TOKENS = 3_000_000
 BLOCK_WORDS = 500_000
 #: Characters of text per shard, and the fewest shards.
 SHARD_CHARS, LEAST_SHARDS = 12_000_000, 12
-SALTS = 256
 STEP = 12 / 65000
 MASSES = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 #: Tokens of a block scored at once.
 TOGETHER = 300_000
 #: The end of a text; as a context, its start.
 END = b""
-CONTEXT_BITS, SUCCESSOR_BITS = 22, 18
+CONTEXT_BITS, SUCCESSOR_BITS = 22, 32
 KEY_BITS = CONTEXT_BITS + SUCCESSOR_BITS
 #: Block counts up to this are one byte; larger ones follow in a list.
 SMALL = 255
@@ -147,17 +149,18 @@ def pair_codes(sequence: np.ndarray, kinds: int) -> np.ndarray:
 
 def placed(hashes: np.ndarray, codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's word pairs: the order by shard and key, and in that order the shards and the keys."""
-    kinds, hashes = np.uint64(len(hashes)), hashes.astype(np.uint64)
+    kinds = np.uint64(len(hashes))
     with np.errstate(over="ignore"):
         context, successor = mixed(hashes), mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
         left, right = (codes // kinds).astype(np.int64), (codes % kinds).astype(np.int64)
-        shard = mixed(hashes[left] + successor[right] % np.uint64(SALTS)) % np.uint64(shards)
+        # The successors of one context are dealt evenly over all shards.
+        shard = ((context % np.uint64(shards))[left] + (successor % np.uint64(shards))[right]) % np.uint64(shards)
     key = context[left] >> np.uint64(64 - CONTEXT_BITS) << np.uint64(SUCCESSOR_BITS)
     key |= successor[right] >> np.uint64(64 - SUCCESSOR_BITS)
-    both = shard << np.uint64(KEY_BITS) | key
-    order = np.argsort(both, kind="stable")
-    both = both[order]
-    return order, (both >> np.uint64(KEY_BITS)).astype(np.int64), both & np.uint64((1 << KEY_BITS) - 1)
+    order = np.argsort(key, kind="stable")
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.uint64)
+    order = order[np.argsort(shard[order], kind="stable")]
+    return order, shard[order].astype(np.int64), key[order]
 
 
 def small(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -185,7 +188,7 @@ def restored_numbers(data: bytes) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 PART = {
@@ -228,7 +231,7 @@ def blocks(documents: DataFrame, shards: int) -> DataFrame:
         yield batch_of([("layout", block, None, hashes.tobytes())])
         order, pair_shard, keys = placed(hashes, codes, shards)
         pair_n = pair_n[order]
-        word_shard = (hashes % np.uint32(shards)).astype(np.int64)
+        word_shard = (hashes % np.uint64(shards)).astype(np.int64)
         word_order = np.argsort(word_shard, kind="stable")
         word_ends = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
         pair_ends = np.searchsorted(pair_shard, np.arange(shards + 1))
@@ -328,7 +331,7 @@ class Facts:
 
 def block_scores(docs: pd.DataFrame, answers: pd.DataFrame, facts: Facts, shards: int) -> pd.DataFrame:
     """Scores of a block's documents under every mass, and of the training ones with each token left out."""
-    hashes = np.frombuffer(docs[docs["kind"] == "layout"]["a"].iloc[0], np.uint32)
+    hashes = np.frombuffer(docs[docs["kind"] == "layout"]["a"].iloc[0], np.uint64)
     answers = answers.sort_values("shard")
     sequences, about = [], []
     for part in docs[docs["kind"] == "doc"].itertuples():
@@ -338,7 +341,7 @@ def block_scores(docs: pd.DataFrame, answers: pd.DataFrame, facts: Facts, shards
         about += zip(*[x.tolist() for x in fields], strict=True)
     codes, inverse = np.unique(np.concatenate([pair_codes(s, len(hashes)) for s in sequences]), return_inverse=True)
     count, code = np.empty(len(hashes), np.int64), np.empty(len(codes), np.uint16)
-    sent = np.argsort((hashes % np.uint32(shards)).astype(np.int64), kind="stable")
+    sent = np.argsort((hashes % np.uint64(shards)).astype(np.int64), kind="stable")
     count[sent] = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["counts"]]).astype(np.int64)
     code[placed(hashes, codes, shards)[0]] = np.concatenate([np.frombuffer(x, np.uint16) for x in answers["codes"]])
     pair_count = restored(code)

@@ -186,6 +186,18 @@ def test_trie_finds_what_was_counted():
     assert trie.find(np.array([7], np.uint64), np.array([1], np.uint32))[0] == 0
 
 
+@pytest.mark.parametrize("shards", [12, 2500])
+def test_successors_of_a_hot_context_keep_their_own_keys(shards):
+    words = [b"hot", *[b"w%d" % i for i in range(300_000)]]
+    hashes = ngram_trie.word_hashes(words)
+    codes = np.arange(1, len(words), dtype=np.uint64)  # "hot" before every word
+    order, shard, key = ngram_trie.placed(hashes, codes, shards)
+    assert len(np.unique(shard)) == shards and (np.sort(order) == np.arange(len(codes))).all()
+    assert (np.diff(shard) >= 0).all() and (key[1:] >= key[:-1])[shard[1:] == shard[:-1]].all()
+    shared = ((shard[1:] == shard[:-1]) & (key[1:] == key[:-1])).sum()
+    assert shared <= 3
+
+
 def test_language_model_edges(spark, monkeypatch):
     out = {r["doc_id"]: r for r in ngram_trie.score(docs(spark, [None, "", "a b a", "A  b\ta", "a b a"])).collect()}
     assert out[0]["n_tokens"] == out[1]["n_tokens"] == 1 and out[2]["score"] == out[3]["score"] == out[4]["score"]
