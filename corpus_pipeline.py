@@ -4,8 +4,8 @@ Every stage is ``(spark, docs, sf_dir) -> DataFrame``; ``run`` writes each resul
 documents.  All but the last return the columns of the documents.  Stages work on all rows they are given, whatever
 the number: nothing is sampled but the labelled rows the classifier is fitted on (``quality_fm.TRAIN_ROWS``).
 
-Defined results: rows with null text fail the quality rules and go; rows without an id can't be told apart and stay
-until the mix; an empty table passes through every stage; columns besides those of ``documents`` are kept.
+Defined results: rows with null text fail the quality rules and go; of rows that are near duplicates one
+stays, also where they share an id or have none; an empty table passes through every stage; columns besides those of ``documents`` are kept.
 """
 
 from __future__ import annotations
@@ -41,11 +41,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates: the one of least id."""
-    found = bbit_minhash.near_duplicates(docs, SHINGLE, PERCENT)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    """One row of every group of near duplicates: one of least id, null last.
+
+    Rows are numbered and written, and the numbers are what the operator knows them by, so rows that share an id
+    or have none are told apart.
+    """
+    numbered = materialise(_carried(docs).withColumn("_number", F.monotonically_increasing_id()), compression="zstd")
+    found = bbit_minhash.near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "_row.text"), SHINGLE, PERCENT)
+    found = materialise(found.select(F.col("doc_id").alias("_number"), "component_id"))
+    # Every join is by the number, so a group of many copies is never one key.
+    named = found.join(numbered.select("_number", F.col("_row.doc_id").alias("id")), "_number")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_number")
+    least = named.groupBy("component_id").agg(F.min(order)["_number"].alias("_number")).select("_number")
+    gone = found.select("_number").join(least, "_number", "left_anti")
+    return numbered.join(gone, "_number", "left_anti").select("_row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,3 +155,19 @@ def test_pipeline_stages_take_empty_and_odd_tables(spark):
     assert [r["failed"] for r in passed.collect()] == ["f", "f"]
     mixed = corpus_pipeline.source_mixing(spark, passed, FOLDER)
     assert mixed.columns == odd.columns and {r["hash"] for r in mixed.collect()} <= {"h"}
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcd"]
+    rows = [(1, texts[0])] * 3 + [(None, texts[1])] * 3 + [(None, texts[2]), (7, texts[2]), (5, texts[2]), (5, texts[2])]
+    rows += [(9, texts[3]), (9, texts[0] + " more"), (9, "another text under the id of two others"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert left.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert found == Counter([
+        (1, texts[0]), (None, texts[1]), (5, texts[2]), (9, texts[3]), (9, "another text under the id of two others"),
+        (4, None), (4, None),
+    ])
