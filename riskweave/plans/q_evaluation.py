@@ -187,7 +187,7 @@ def grouped_folds(t: Tables):
 
 @query("cross_validate")
 def cross_validate(t: Tables):
-    return learning.cross_validate(t.examples, folds=5, repeats=1)
+    return learning.cross_validate(t.examples)
 
 
 @query("rate_by_rule_baseline", """SELECT e.patch_id, round(coalesce(r.rate, b.base), 9) AS rule_rate FROM v_examples e LEFT JOIN (SELECT rule_id, (count(*) FILTER (WHERE passed) + 1)::DOUBLE / (count(*) + 2) AS rate FROM v_examples WHERE n % 5 <> 0 GROUP BY 1) r USING (rule_id)
