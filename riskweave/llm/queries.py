@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import bbit_minhash, block_knn, chat_snapshots, language_id, mixing_flow, ngram_trie, packing_mbs, quality_fm, quality_ledger, url_filters
+from riskweave.llm import (
+    bbit_minhash,
+    block_knn,
+    chat_snapshots,
+    language_id,
+    mixing_flow,
+    ngram_trie,
+    packing_mbs,
+    quality_fm,
+    quality_ledger,
+    url_filters,
+    word_runs,
+)
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +65,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_mbs.packing(_read(spark, folder, "documents"))
 
 
+def op12_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return word_runs.period_runs(_read(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +78,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
-        op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing, pipeline,
+        op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
+        op12_period_runs, pipeline,
     )
 }
 SQL: dict[str, str] = {
@@ -71,4 +88,5 @@ SQL: dict[str, str] = {
     "op6_nearest_neighbours": block_knn.SQL,
     "op7_quality_rules": quality_ledger.SQL,
     "op9_near_dedup": bbit_minhash.SQL,
+    "op12_period_runs": word_runs.SQL,
 }
