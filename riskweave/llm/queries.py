@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import (
+    audit_dp,
     bbit_minhash,
     block_knn,
     chat_snapshots,
@@ -69,6 +70,10 @@ def op12_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     return word_runs.period_runs(_read(spark, folder, "documents"))
 
 
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_dp.structure_repair(_read(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
         op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
-        op12_period_runs, pipeline,
+        op12_period_runs, op13_structure_repair, pipeline,
     )
 }
 SQL: dict[str, str] = {
@@ -89,4 +94,5 @@ SQL: dict[str, str] = {
     "op7_quality_rules": quality_ledger.SQL,
     "op9_near_dedup": bbit_minhash.SQL,
     "op12_period_runs": word_runs.SQL,
+    "op13_structure_repair": audit_dp.SQL,
 }

@@ -70,3 +70,9 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 #: Odd multipliers of the places in a window.
 ODD = [int(value) | 1 for value in mixed(np.arange(1, 17, dtype=np.uint64))]
+
+#: SQL of crc32 of an ASCII string, bit by bit; the polynomial is a fixed value.
+CRC_SQL = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
+    "lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))), 4294967295)"
+)

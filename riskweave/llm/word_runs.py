@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.text import WORD, words_of
+from riskweave.llm.text import CRC_SQL, WORD, words_of
 
 #: Powers that count as a run, and the least number of words.
 TIMES, LEAST = 4, 6
@@ -252,11 +252,6 @@ def period_runs(documents: DataFrame) -> DataFrame:
     )
 
 
-#: crc32 of a number's decimal digits, bit by bit; the polynomial is a fixed value.
-CRC_SQL = (
-    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
-    "lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))), 4294967295)"
-)
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {CRC_SQL.format("doc_id::VARCHAR")} AS h,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
