@@ -17,6 +17,7 @@ from riskweave.llm import (
     packing_mbs,
     quality_fm,
     quality_ledger,
+    size_aware_join,
     url_filters,
     word_runs,
 )
@@ -66,6 +67,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_mbs.packing(_read(spark, folder, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return size_aware_join.jaccard_join(_read(spark, folder, "documents"))
+
+
 def op12_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     return word_runs.period_runs(_read(spark, folder, "documents"))
 
@@ -84,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_language_id, op3_quality_classifier, op4_chat_formatting,
         op5_lm_scoring, op6_nearest_neighbours, op7_quality_rules, op8_source_mixing, op9_near_dedup, op10_packing,
-        op12_period_runs, op13_structure_repair, pipeline,
+        op11_jaccard_join, op12_period_runs, op13_structure_repair, pipeline,
     )
 }
 SQL: dict[str, str] = {
@@ -93,6 +98,7 @@ SQL: dict[str, str] = {
     "op6_nearest_neighbours": block_knn.SQL,
     "op7_quality_rules": quality_ledger.SQL,
     "op9_near_dedup": bbit_minhash.SQL,
+    "op11_jaccard_join": size_aware_join.SQL,
     "op12_period_runs": word_runs.SQL,
     "op13_structure_repair": audit_dp.SQL,
 }

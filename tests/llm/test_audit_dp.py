@@ -150,8 +150,8 @@ def test_edges(spark):
 
 
 def test_conversations_without_a_turn_after_the_damage(spark):
-    gone = next(i for i in range(10**6) if all(zlib.crc32(f"{i}:{t}".encode()) % 20 == 0 for t in (1, 2)))
-    rows = [(gone, 1, "user", "Hi.", "x", 1), (gone, 2, "assistant", "Yes.", "x", 1)]
+    gone = next(i for i in range(10**6) if zlib.crc32(f"{i}:1".encode()) % 20 == 0)
+    rows = [(gone, 1, "user", "Hi.", "x", 1), (gone, 1, "assistant", "Yes.", "x", 1)]
     out = audit_dp.structure_repair(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [tuple(r) for r in out] == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())]
 
