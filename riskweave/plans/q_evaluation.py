@@ -153,31 +153,58 @@ def vectorise(t: Tables):
     return rows
 
 
-@query("logistic_fit")
+#: Features of an example as rows (e: repeat, fold, patch_id, passed, feature, value) over training sets ``tr``.
+FEATURES = """nm AS (SELECT repeat, fold, patch_id, passed, unnest([{'f': 'lines added', 'x': ln(1 + lines_added::DOUBLE)}, {'f': 'lines removed', 'x': ln(1 + lines_removed::DOUBLE)},
+ {'f': 'lines the model could change', 'x': ln(1 + region_lines::DOUBLE)}, {'f': 'size of the diff', 'x': ln(1 + diff_characters::DOUBLE)}, {'f': 'length of the rationale', 'x': ln(1 + rationale_characters::DOUBLE)},
+ {'f': 'line-number gutters stripped', 'x': ln(1 + gutters_stripped::DOUBLE)}, {'f': 'generation attempts', 'x': attempts::DOUBLE}, {'f': 'knowledge passages used', 'x': passages::DOUBLE},
+ {'f': 'prompt tokens', 'x': ln(1 + prompt_tokens::DOUBLE)}, {'f': 'completion tokens', 'x': ln(1 + completion_tokens::DOUBLE)}, {'f': 'generation time', 'x': ln(1 + duration_ms::DOUBLE)}, {'f': 'temperature', 'x': temperature::DOUBLE}]) AS u FROM tr),
+ sc AS (SELECT repeat, fold, u.f AS f, coalesce(avg(u.x), 0) AS m, coalesce(nullif(stddev_pop(u.x), 0), 1) AS s FROM nm GROUP BY ALL),
+ ct AS (SELECT repeat, fold, patch_id, passed, unnest([{'f': 'rule', 'x': rule_id}, {'f': 'severity', 'x': severity}, {'f': 'confidence', 'x': confidence}, {'f': 'file type', 'x': suffix}]) AS u FROM tr),
+ cv AS (SELECT *, count(*) OVER (PARTITION BY repeat, fold, u.f, u.x) AS c FROM ct),
+ fx AS (SELECT repeat, fold, passed, u.f AS feature, (u.x - m) / s AS value FROM nm JOIN sc USING (repeat, fold) WHERE sc.f = u.f AND u.x IS NOT NULL
+ UNION ALL SELECT repeat, fold, passed, u.f || ': not recorded', (u.x IS NULL)::INT FROM nm
+ UNION ALL SELECT repeat, fold, passed, unnest(['code fences stripped', 're-indented', 'had an explanation']), unnest([fences_stripped::INT, reindented::INT, had_explanation::INT]) FROM tr
+ UNION ALL SELECT repeat, fold, passed, u.f || ' = ' || CASE WHEN c >= 3 AND u.x IS NOT NULL THEN u.x ELSE 'other' END, 1 FROM cv
+ UNION ALL SELECT repeat, fold, passed, unnest(['rule = other', 'severity = other', 'confidence = other', 'file type = other']), 0 FROM tr
+ UNION ALL SELECT repeat, fold, passed, 'bias', 1 FROM tr),
+ mo AS (SELECT repeat, fold, feature, round(sum(CASE WHEN passed THEN value ELSE 0 END), 3) + 0.0 AS expected FROM fx GROUP BY ALL)"""
+OPTIMUM = f"WITH tr AS (SELECT *, 0 AS repeat, -1 AS fold FROM v_examples), {FEATURES} SELECT feature, expected FROM mo"
+
+
+@query("logistic_fit", OPTIMUM)
 def logistic_fit(t: Tables):
-    vectoriser, model = learning.train(t.examples)
-    return learning.weights_table(t.spark, vectoriser, model)
+    model = learning.train(t.examples)
+    rows = learning.optimum(t.examples, model)
+    return rows.select("feature", (F.round("expected", 3) + 0.0).alias("expected"))
 
 
 @query("top_weights")
 def top_weights(t: Tables):
-    vectoriser, model = learning.train(t.examples)
-    return learning.top_weights(learning.weights_table(t.spark, vectoriser, model))
+    return learning.top_weights(learning.weights_table(t.spark, learning.train(t.examples)))
 
 
-@query("save_model_file")
+#: Probabilities of the rows of a saved model, summed feature by feature; equal only at the optimum.
+@query("save_model_file", f"""WITH tr AS (SELECT *, 0 AS repeat, -1 AS fold FROM v_examples), {FEATURES} SELECT 'bias' AS feature, expected FROM mo WHERE feature = 'bias' UNION ALL
+ SELECT 'penalised ' || feature, expected FROM mo WHERE feature <> 'bias'""")
 def save_model_file(t: Tables):
     from riskweave.plans.q_sources import scratch
 
-    vectoriser, model = learning.train(t.examples)
+    model = learning.train(t.examples)
     digest = evaluation.outcomes_hash(
         t.examples.select(F.col("patch_id").cast("string").alias("name"), F.col("passed").alias("reported"))
     ).first()["outcomes_sha256"]
     path = scratch(t, "model")
-    learning.save_model(t.spark, path, vectoriser, model, digest)
+    learning.save_model(t.spark, path, model, digest)
     learned, weights, bias = learning.load_model(t.spark, path)
     rows = learning.predict(t.examples, learned, weights, bias)
-    return rows.select("patch_id", F.round("probability", 4).alias("probability"))
+    # From the file alone: its own feature columns, weights and probabilities.
+    sums = [
+        (n, F.sum(F.col("probability") * c) + learning.L2 * w) for (n, c), w in zip(learned.features().items(), weights, strict=True)
+    ]
+    named = [F.struct(F.lit("bias").alias("feature"), F.sum("probability").alias("expected"))]
+    named += [F.struct(F.lit(f"penalised {n}").alias("feature"), s.alias("expected")) for n, s in sums]
+    out = rows.agg(F.array(*named).alias("all")).select(F.explode("all").alias("x"))
+    return out.select("x.feature", (F.round("x.expected", 3) + 0.0).alias("expected"))
 
 
 @query("grouped_folds", """SELECT patch_id, CAST((turn - 1) % 5 AS INTEGER) AS fold FROM v_examples JOIN (SELECT finding_id, row_number() OVER (ORDER BY mp DESC, code) AS turn FROM (SELECT finding_id, (count(*) FILTER (WHERE passed)) * 2 >= count(*) AS mp, sha256('16:' || finding_id) AS code FROM v_examples GROUP BY 1)) USING (finding_id)""")
@@ -185,8 +212,34 @@ def grouped_folds(t: Tables):
     return learning.grouped_folds(t.examples).select("patch_id", "fold")
 
 
-@query("cross_validate")
+#: Folds of ten repeats, training sets, and the two baselines.
+REPEATED = """gr AS (SELECT finding_id, (count(*) FILTER (WHERE passed)) * 2 >= count(*) AS mp FROM v_examples GROUP BY 1),
+ dl AS (SELECT finding_id, r AS repeat, CAST((row_number() OVER (PARTITION BY r ORDER BY mp DESC, sha256((16 + r) || ':' || finding_id)) - 1) % 5 AS INTEGER) AS fold FROM gr, (SELECT unnest(range(10))::INTEGER AS r)),
+ hd AS (SELECT e.*, dl.repeat, dl.fold FROM v_examples e JOIN dl USING (finding_id)),
+ tr AS (SELECT e.* EXCLUDE (fold), k.fold FROM hd e, (SELECT unnest(range(5))::INTEGER AS fold) k WHERE k.fold <> e.fold)"""
+
+
+@query("cross_validate", f"""WITH {REPEATED}, {FEATURES},
+ br AS (SELECT repeat, fold, (count(*) FILTER (WHERE passed))::DOUBLE / count(*) AS base FROM tr GROUP BY ALL),
+ rr AS (SELECT repeat, fold, rule_id, ((count(*) FILTER (WHERE passed)) + 1)::DOUBLE / (count(*) + 2) AS rate FROM tr GROUP BY ALL)
+ SELECT repeat, fold, 'optimum' AS kind, feature AS name, expected AS value FROM mo
+ UNION ALL SELECT repeat, fold, 'pass rate of the rule', patch_id::VARCHAR, round(coalesce(rate, base), 9) FROM hd JOIN br USING (repeat, fold) LEFT JOIN rr USING (repeat, fold, rule_id)
+ UNION ALL SELECT repeat, fold, 'commoner outcome', patch_id::VARCHAR, round(base, 9) FROM hd JOIN br USING (repeat, fold)
+ UNION ALL SELECT repeat, fold, 'model', patch_id::VARCHAR, 1 FROM hd""")
 def cross_validate(t: Tables):
+    """All 50 models at their optimum, the baselines, and that the model says something of every held-out example."""
+    rows, models = learning.fitted_folds(t.examples)
+    said = learning.held_out_predictions(rows, models)
+    value = F.when(F.col("predictor") == learning.MODEL, F.col("probability").between(0.0, 1.0).cast("double")).otherwise(F.round("probability", 9))
+    said = said.select("repeat", "fold", F.col("predictor").alias("kind"), F.col("patch_id").cast("string").alias("name"), value.alias("value"))
+    best = learning.fold_optima(rows, models).select(
+        "repeat", "fold", F.lit("optimum").alias("kind"), F.col("feature").alias("name"), (F.round("expected", 3) + 0.0).alias("value")
+    )
+    return best.unionByName(said)
+
+
+@query("cross_validate_predictions")
+def cross_validate_predictions(t: Tables):
     return learning.cross_validate(t.examples)
 
 

@@ -245,7 +245,10 @@ WHERE tier = 3 AND score >= 0.35) WHERE have + place <= 5""",
     "v_examples": f"""
 SELECT l.doc_id AS patch_id, substr(sha256(text), 1, 6) AS finding_id, quality = 1 AS passed, source AS rule_id, n_chars AS diff_characters,
  {array(dims.SEVERITIES)}[l.doc_id % 5 + 1] AS severity, {array(dims.CONFIDENCES)}[l.doc_id % 3 + 1] AS confidence,
- {case('lang', adapters.LANG_SUFFIX)} AS suffix, l.doc_id AS n, text FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+ {case('lang', adapters.LANG_SUFFIX)} AS suffix, l.doc_id AS n, text,
+ len(string_split(text, ' ')) AS rationale_characters, len(string_split(text, chr(10))) AS lines_added, l.doc_id % 7 AS lines_removed, l.doc_id % 12 AS region_lines, l.doc_id % 4 = 0 AS fences_stripped,
+ l.doc_id % 3 AS gutters_stripped, l.doc_id % 6 = 0 AS reindented, l.doc_id % 3 + 1 AS attempts, l.doc_id % 2 = 0 AS had_explanation, l.doc_id % 5 AS passages,
+ CASE WHEN l.doc_id % 9 <> 0 THEN l.doc_id % 700 END AS prompt_tokens, l.doc_id % 90 AS completion_tokens, l.doc_id % 5000 AS duration_ms, (l.doc_id % 3) * 0.25::DOUBLE AS temperature FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "v_predictions": """
 SELECT patch_id, passed, n % 5 AS fold, 0 AS repeat, 'model' AS predictor, (diff_characters % 101) / 100.0::DOUBLE AS probability FROM v_examples
 UNION ALL SELECT patch_id, passed, n % 5, 0, 'pass rate of the rule', (diff_characters % 7) / 10.0::DOUBLE FROM v_examples""",
