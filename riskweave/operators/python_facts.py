@@ -2,6 +2,10 @@
 
 The visitor decides nothing.  It writes down calls, assignments, stores, returns, parameters and
 imports; every rule is a relational filter over those rows (``python_rules``).
+
+``names`` and ``slot`` name versions of variables (``versions``): what an expression reads, and what a row gives a value to.
+Merges and guards are rows as well.  A call of a function of the same file is read by its ``slot``; its arguments are rows
+of their own, each bound to a parameter, and are not part of the expression around it.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave import dims
+from riskweave.operators.versions import URL_PARSERS, Versions, checks
 
 FACT_SCHEMA = (
     "repository_id bigint, path string, fact string, line int, end_line int, col int, scope string, "
     "call_name string, tail string, qualified string, literal boolean, built boolean, "
     "text string, value string, names array<string>, reads array<string>, calls array<string>, "
-    "kwargs map<string,string>, target string, key string, snippet string"
+    "kwargs map<string,string>, target string, key string, snippet string, slot string, version int"
 )
 
 # --- fixed values: how frameworks name a route and their request object ---
@@ -39,12 +44,51 @@ def _dotted(node: ast.AST | None) -> str | None:
     return None
 
 
+# --- fixed values: names of functions that escape for HTML, whatever they do ---
+ESCAPING = {"escape_for_html", "escape_html", "html_escape", "htmlescape", "escapehtml"}
+
+
+def _stored(tree: ast.AST) -> list[str]:
+    return [n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load)]
+
+
+def _helpers(tree: ast.Module) -> dict[str, ast.FunctionDef]:
+    """Functions of the file that a plain call can only mean one of, and whose arguments land where they are written."""
+    every = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+    bound = [n.name for n in every] + _stored(tree)
+    bound += [a.arg for n in ast.walk(tree) if isinstance(n, ast.arguments) for a in [*n.posonlyargs, *n.args, *n.kwonlyargs, n.vararg, n.kwarg] if a]
+    bound += [(a.asname or a.name).split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom) for a in n.names]
+    out = {}
+    for node in tree.body:
+        if not isinstance(node, ast.FunctionDef) or node.decorator_list or node.args.vararg or node.args.kwarg:
+            continue
+        yields = any(isinstance(n, ast.Yield | ast.YieldFrom) for n in ast.walk(node))
+        if bound.count(node.name) == 1 and not yields and node.name not in ESCAPING:
+            out[node.name] = node
+    return out
+
+
+def _constants(tree: ast.Module) -> dict[str, ast.AST]:
+    """Names that the module binds once, to what it writes there."""
+    stored = _stored(tree)
+    return {
+        s.targets[0].id: s.value for s in tree.body
+        if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) and stored.count(s.targets[0].id) == 1
+    }
+
+
 class _Facts(ast.NodeVisitor):
-    def __init__(self, source: str):
+    def __init__(self, source: str, tree: ast.Module):
         self.lines = source.splitlines()
         self.rows: list[dict] = []
         self.imports: dict[str, str] = {}
         self.scope = ["<module>"]
+        shared = {name for n in ast.walk(tree) if isinstance(n, ast.Global | ast.Nonlocal) for name in n.names}
+        self.at = Versions(self.emit, shared)
+        self.loops: list[tuple[list, list]] = []
+        self.helpers, self.constants = _helpers(tree), _constants(tree)
+        #: Versions that hold a path of pathlib.
+        self.paths: set[tuple[str, str]] = set()
 
     def emit(self, fact: str, node: ast.AST, **values) -> None:
         line = getattr(node, "lineno", 0)
@@ -57,6 +101,25 @@ class _Facts(ast.NodeVisitor):
             }
         )
 
+    def helper_of(self, node: ast.AST) -> ast.FunctionDef | None:
+        """The function of this file a call runs, if its arguments can be told."""
+        if not isinstance(node, ast.Call) or not isinstance(node.func, ast.Name):
+            return None
+        function = self.helpers.get(node.func.id)
+        if function is None or any(isinstance(a, ast.Starred) for a in node.args) or any(k.arg is None for k in node.keywords):
+            return None
+        return function if len(node.args) <= len(function.args.posonlyargs) + len(function.args.args) else None
+
+    def parts(self, node: ast.AST | None) -> list[ast.AST]:
+        """The nodes of an expression, not going into calls of this file's functions."""
+        out, left = [], [] if node is None else [node]
+        while left:
+            child = left.pop()
+            out.append(child)
+            if self.helper_of(child) is None:
+                left += ast.iter_child_nodes(child)
+        return out
+
     def resolve(self, name: str | None) -> str | None:
         if not name:
             return None
@@ -66,24 +129,32 @@ class _Facts(ast.NodeVisitor):
 
     def describe(self, node: ast.AST | None) -> dict:
         """Variables, request reads and calls inside an expression, and its literal text."""
-        names, reads, calls, parts = [], [], [], []
+        names, reads, calls, texts = [], [], [], []
         inside_request: set[int] = set()
-        for child in ast.walk(node) if node is not None else ():
+        children = self.parts(node)
+        # Names that only live inside a comprehension: what they run over is there as well.
+        inner = {n.id for c in children if isinstance(c, ast.comprehension) for n in ast.walk(c.target) if isinstance(n, ast.Name)}
+        for child in children:
             if isinstance(child, ast.Attribute) and self.resolve(_dotted(child.value)) in REQUESTS:
                 reads.append(child.attr)
                 inside_request.add(id(child.value))
             elif isinstance(child, ast.Subscript) and self.resolve(_dotted(child.value)) in REQUESTS:
                 reads.append("[]")
                 inside_request.add(id(child.value))
+            elif self.helper_of(child) is not None:
+                names.append(self.result(child))
+                inside_request.add(id(child.func))
             elif isinstance(child, ast.Call):
                 called = self.resolve(_dotted(child.func))
                 if called:
                     calls.append(called)
+                # What a function is called is no value that moves.
+                inside_request.add(id(child.func))
             elif isinstance(child, ast.Constant) and isinstance(child.value, str):
-                parts.append(child.value)
-        for child in ast.walk(node) if node is not None else ():
-            if isinstance(child, ast.Name) and id(child) not in inside_request and child.id not in self.imports:
-                names.append(child.id)
+                texts.append(child.value)
+        for child in children:
+            if isinstance(child, ast.Name) and id(child) not in inside_request and child.id not in self.imports and child.id not in inner:
+                names.append(self.at.slot(child.id))
         literal = isinstance(node, ast.Constant)
         return {
             "literal": literal,
@@ -93,11 +164,23 @@ class _Facts(ast.NodeVisitor):
                 isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute)
                 and node.func.attr == "format"
             ),
-            "text": " ".join(parts),
+            "text": " ".join(texts),
             "value": node.value if literal and isinstance(node.value, str) else None,
             "names": sorted(set(names)), "reads": sorted(set(reads)), "calls": sorted(set(calls)),
         }
 
+    def is_path(self, node: ast.AST) -> bool:
+        """Whether an expression is made with pathlib, here or where its variables were assigned."""
+        return any(
+            (isinstance(c, ast.Call) and (self.resolve(_dotted(c.func)) or "").startswith("pathlib."))
+            or (isinstance(c, ast.Name) and (self.scope[-1], self.at.slot(c.id)) in self.paths)
+            for c in self.parts(node)
+        )
+
+    @staticmethod
+    def result(node: ast.Call) -> str:
+        return f"(){node.lineno}:{node.col_offset}"
+
     def keywords(self, node: ast.Call) -> dict[str, str]:
         out = {}
         for keyword in node.keywords:
@@ -135,27 +218,182 @@ class _Facts(ast.NodeVisitor):
             for d in node.decorator_list
         )
         self.scope.append(f"{node.name}:{node.lineno}")
+        outer, loops, self.at, self.loops = self.at, self.loops, self.at.inner(), []
         arguments = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
         for argument in arguments:
             if argument.arg in {"self", "cls"}:
                 continue
             kind = (_dotted(argument.annotation) or "").rpartition(".")[2]
+            self.at.bind(argument.arg)
             self.emit(
                 "parameter", argument, target=argument.arg, text=kind,
-                literal=kind in NOT_TEXT, built=route,
+                literal=kind in NOT_TEXT, built=route, slot=self.at.slot(argument.arg),
             )
-        self.generic_visit(node)
+        for part in (*node.decorator_list, node.args):
+            self.visit(part)
+        self.block(node.body)
+        self.at, self.loops = outer, loops
         self.scope.pop()
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
     def visit_Return(self, node):  # noqa: N802
+        self.generic_visit(node)
         if node.value is not None:
             body = node.value.elts[0] if isinstance(node.value, ast.Tuple) and node.value.elts else node.value
             values = self.describe(body)
             values["literal"] = values["literal"] or isinstance(body, ast.Dict)
             self.emit("return", node, **values)
+        self.at.gone = True
+
+    def visit_Raise(self, node):  # noqa: N802
         self.generic_visit(node)
+        self.at.gone = True
+
+    # --- ways through a function
+
+    def block(self, body: list[ast.stmt]) -> None:
+        for statement in body:
+            self.visit(statement)
+
+    def learn(self, test: ast.AST, holds: bool) -> None:
+        found = checks(test, holds, self.constants, lambda called: self.resolve(_dotted(called)), self.at.parsed)
+        self.at.learn(found, test)
+
+    def ways(self, node: ast.AST, start: dict[str, int], branches: list, more: list[dict[str, int]]) -> None:
+        """Read each branch from ``start``; go on with what arrives, and with ``more``."""
+        gone, ends = self.at.gone, list(more)
+        for branch in branches:
+            self.at.now, self.at.gone = dict(start), gone
+            branch()
+            if gone or not self.at.gone:
+                ends.append(self.at.now)
+        self.at.gone = gone or not ends
+        self.at.meet(node, ends or [start])
+
+    def visit_If(self, node):  # noqa: N802
+        self.visit(node.test)
+
+        def branch(body, holds):
+            return lambda: (self.learn(node.test, holds), self.block(body))
+
+        self.ways(node, dict(self.at.now), [branch(node.body, True), branch(node.orelse, False)], [])
+
+    def _looped(self, node, begin) -> None:
+        gone, test = self.at.gone, getattr(node, "test", None)
+        changed = set(_stored(node)) | {
+            root.id for n in ast.walk(node) if isinstance(n, ast.Attribute | ast.Subscript) for root in ast.walk(n.value) if isinstance(root, ast.Name)
+        }
+        heads = {}
+        for name in sorted(changed - set(self.imports) - self.at.shared):
+            if name in self.at.now or name in _stored(node):
+                before = [self.at.now[name]] if name in self.at.now else []
+                self.at.merge(node, name, before)
+                heads[name] = self.at.now[name]
+                if not before:
+                    del self.at.now[name]
+        if test is not None:
+            self.visit(test)
+        entry = dict(self.at.now)
+        self.at.now |= heads
+        self.loops.append(([], []))
+        begin()
+        self.block(node.body)
+        breaks, continues = self.loops.pop()
+        ends = ([] if self.at.gone and not gone else [self.at.now]) + continues
+        for name, head in heads.items():
+            for end in ends:
+                self.at.lead(node, name, head, end)
+        after = dict(entry)
+        for end in ends:
+            after = {**end, **after}
+
+        def rest():
+            if test is not None:
+                self.learn(test, False)
+            self.block(node.orelse)
+
+        self.at.gone = gone
+        endless = isinstance(test, ast.Constant) and bool(test.value)
+        self.ways(node, after, [] if endless else [rest], breaks)
+
+    def visit_While(self, node):  # noqa: N802
+        self._looped(node, lambda: self.learn(node.test, True))
+
+    def _for(self, node):
+        self.visit(node.iter)
+        values = {**self.describe(node.iter), "literal": False, "value": None}
+        self._looped(node, lambda: self.assigned(node, node.target, values))
+
+    visit_For = visit_AsyncFor = _for
+
+    def visit_Break(self, node):  # noqa: N802
+        if self.loops and not self.at.gone:
+            self.loops[-1][0].append(dict(self.at.now))
+        self.at.gone = True
+
+    def visit_Continue(self, node):  # noqa: N802
+        if self.loops and not self.at.gone:
+            self.loops[-1][1].append(dict(self.at.now))
+        self.at.gone = True
+
+    def _try(self, node):
+        before, made, gone = dict(self.at.now), dict(self.at.made), self.at.gone
+        self.block(node.body)
+        ended, left = self.at.now, self.at.gone
+        # A handler may find any version the body has made.
+        self.at.now = dict(before)
+        for name in sorted(self.at.made):
+            new = range(made.get(name, 0) + 1, self.at.made[name] + 1)
+            if len(new):
+                self.at.merge(node, name, ([before[name]] if name in before else []) + list(new))
+        found, ends = dict(self.at.now), []
+        self.at.now, self.at.gone = ended, left
+        self.block(node.orelse)
+        if gone or not self.at.gone:
+            ends.append(self.at.now)
+        self.at.gone = gone
+        self.ways(node, found, [lambda h=handler: self.visit(h) for handler in node.handlers], ends)
+        # What follows the clean-up is only reached where something reached its start.
+        gone = self.at.gone
+        self.block(node.finalbody)
+        self.at.gone |= gone
+
+    visit_Try = visit_TryStar = _try
+
+    def visit_Match(self, node):  # noqa: N802
+        self.visit(node.subject)
+
+        def branch(case):
+            def read():
+                self.visit(case.pattern)
+                if case.guard is not None:
+                    self.visit(case.guard)
+                    self.learn(case.guard, True)
+                self.block(case.body)
+
+            return read
+
+        last = node.cases[-1]
+        certain = last.guard is None and isinstance(last.pattern, ast.MatchAs) and last.pattern.pattern is None
+        start = dict(self.at.now)
+        self.ways(node, start, [branch(case) for case in node.cases], [] if certain else [start])
+
+    def _comprehension(self, node):
+        outside = dict(self.at.now)
+        for part in node.generators:
+            self.visit(part.iter)
+            self.assigned(part.target, part.target, {**self.describe(part.iter), "literal": False, "value": None})
+            for test in part.ifs:
+                self.visit(test)
+                self.learn(test, True)
+        for part in (node.key, node.value) if isinstance(node, ast.DictComp) else (node.elt,):
+            self.visit(part)
+        self.at.now = outside
+
+    visit_ListComp = visit_SetComp = visit_GeneratorExp = visit_DictComp = _comprehension
+
+    # --- bindings
 
     def assigned(self, node: ast.AST, target: ast.AST, values: dict, qualified: str | None = None) -> None:
         """An assignment to every name in a target, however it is unpacked.
@@ -168,8 +406,10 @@ class _Facts(ast.NodeVisitor):
         elif isinstance(target, ast.Starred):
             self.assigned(node, target.value, values, qualified)
         elif isinstance(target, ast.Name | ast.Attribute):
-            name = target.id if isinstance(target, ast.Name) else target.attr
-            self.emit("assign", node, target=name, qualified=qualified, **values)
+            plain = isinstance(target, ast.Name)
+            name = target.id if plain else target.attr
+            # An attribute is no version of the variable of the same name.
+            self.emit("assign", node, target=name, qualified=qualified, slot=self.at.fresh(name) if plain else f".{name}#0", **values)
             if isinstance(target, ast.Attribute):
                 self.mixed_into(node, target.value, values)
         elif isinstance(target, ast.Subscript):
@@ -180,44 +420,40 @@ class _Facts(ast.NodeVisitor):
         while isinstance(container, ast.Subscript | ast.Attribute | ast.Call):
             container = container.func if isinstance(container, ast.Call) else container.value
         if isinstance(container, ast.Name) and self.resolve(container.id) == container.id and container.id not in ("self", "cls"):
-            held = {**values, "literal": False, "value": None, "names": sorted({*values["names"], container.id})}
-            self.emit("assign", node, target=container.id, qualified=None, **held)
+            held = {**values, "literal": False, "value": None, "names": sorted({*values["names"], self.at.slot(container.id)})}
+            self.emit("assign", node, target=container.id, qualified=None, slot=self.at.fresh(container.id), **held)
 
     def touched(self, node: ast.AST, name: str | None, scopes: list[str] | None = None) -> None:
         """A name is bound in a way whose value is not followed."""
+        slot = self.at.fresh(name) if name else None
         for scope in scopes or self.scope[-1:]:
             if name:
-                self.emit("touched", node, target=name, **{"scope": scope})
+                self.emit("touched", node, target=name, slot=slot, **{"scope": scope})
 
     def visit_AnnAssign(self, node):  # noqa: N802
+        self.generic_visit(node)
         if node.value is not None:
             self.assigned(node, node.target, self.describe(node.value))
-        self.generic_visit(node)
 
     def visit_AugAssign(self, node):  # noqa: N802
+        self.generic_visit(node)
         values = self.describe(node.value)
         if isinstance(node.target, ast.Name):
-            held = {**values, "literal": False, "value": None, "names": sorted({*values["names"], node.target.id})}
+            held = {**values, "literal": False, "value": None, "names": sorted({*values["names"], self.at.slot(node.target.id)})}
             self.assigned(node, node.target, held)
         else:
             self.assigned(node, node.target, {**values, "literal": False, "value": None})
-        self.generic_visit(node)
 
     def visit_NamedExpr(self, node):  # noqa: N802
-        self.assigned(node, node.target, self.describe(node.value))
-        self.generic_visit(node)
-
-    def _loop(self, node):
-        self.assigned(node if hasattr(node, "lineno") else node.target, node.target, {**self.describe(node.iter), "literal": False, "value": None})
         self.generic_visit(node)
-
-    visit_For = visit_AsyncFor = visit_comprehension = _loop
+        self.assigned(node, node.target, self.describe(node.value))
 
     def _with(self, node):
         for item in node.items:
+            self.visit(item.context_expr)
             if item.optional_vars is not None:
                 self.assigned(node, item.optional_vars, {**self.describe(item.context_expr), "literal": False, "value": None})
-        self.generic_visit(node)
+        self.block(node.body)
 
     visit_With = visit_AsyncWith = _with
 
@@ -239,6 +475,7 @@ class _Facts(ast.NodeVisitor):
     visit_Global = visit_Nonlocal = _outer
 
     def visit_Assign(self, node):  # noqa: N802
+        self.generic_visit(node)
         values = self.describe(node.value)
         for target in node.targets:
             if isinstance(target, ast.Subscript):
@@ -249,12 +486,30 @@ class _Facts(ast.NodeVisitor):
                 self.emit(
                     "store", node, target=base, qualified=self.resolve(base), key=key["value"], **stored
                 )
-            whole = self.resolve(_dotted(node.value.func)) if isinstance(node.value, ast.Call) else None
+            whole = None
+            if isinstance(node.value, ast.Call) and self.helper_of(node.value) is None:
+                whole = self.resolve(_dotted(node.value.func))
+            made = self.is_path(node.value)
             self.assigned(node, target, values, whole)
-        self.generic_visit(node)
+            if made and isinstance(target, ast.Name):
+                self.paths.add((self.scope[-1], self.at.slot(target.id)))
+            if whole in URL_PARSERS and isinstance(target, ast.Name) and node.value.args and isinstance(node.value.args[0], ast.Name):
+                self.at.parsed[target.id] = node.value.args[0].id
+
+    def followed(self, node: ast.Call, function: ast.FunctionDef) -> None:
+        """A call of a function of this file: where its result is, and what each parameter is given."""
+        scope, result = f"{function.name}:{function.lineno}", self.result(node)
+        self.emit("followed", node, qualified=scope, slot=result)
+        plain = [*function.args.posonlyargs, *function.args.args]
+        given = [(p.arg, value) for p, value in zip(plain, node.args, strict=False)] + [(k.arg, k.value) for k in node.keywords]
+        for parameter, value in given:
+            self.emit("argument", node, qualified=scope, target=parameter, slot=result, **self.describe(value))
 
     def visit_Call(self, node):  # noqa: N802
+        self.generic_visit(node)
         name = _dotted(node.func)
+        if (function := self.helper_of(node)) is not None:
+            self.followed(node, function)
         if name:
             first = node.args[0] if node.args else None
             described = self.describe(first)
@@ -269,6 +524,9 @@ class _Facts(ast.NodeVisitor):
             kwargs["#rest"] = ",".join(rest.get("names", []))
             kwargs["#rest_reads"] = ",".join(rest.get("reads", []))
             kwargs["#first"] = _dotted(first) or ""
+            if isinstance(node.func, ast.Attribute) and self.is_path(node.func.value):
+                on = self.describe(node.func.value)
+                kwargs |= {"#made": "pathlib", "#on": ",".join(on["names"]), "#on_reads": ",".join(on["reads"])}
             kwargs["#switch"] = str(second.value) if isinstance(second, ast.Constant) else ""
             self.emit(
                 "call", node, call_name=name, tail=name.rsplit(".", 1)[-1], qualified=self.resolve(name),
@@ -277,14 +535,14 @@ class _Facts(ast.NodeVisitor):
         if isinstance(node.func, ast.Attribute) and node.func.attr in FILLING:
             given = ast.Tuple(elts=[*node.args, *[k.value for k in node.keywords]], ctx=ast.Load())
             self.mixed_into(node, node.func.value, self.describe(given))
-        self.generic_visit(node)
 
 
 def facts_of(source: str) -> list[dict]:
     """Rows for one file; a file that does not parse gives one ``unparsable`` row."""
     try:
-        visitor = _Facts(source)
-        visitor.visit(ast.parse(source))
+        tree = ast.parse(source)
+        visitor = _Facts(source, tree)
+        visitor.visit(tree)
         return visitor.rows
     except (SyntaxError, ValueError, RecursionError) as error:
         return [{"fact": "unparsable", "line": getattr(error, "lineno", 0) or 0}]

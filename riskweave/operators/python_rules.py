@@ -42,6 +42,11 @@ FILE_CALLS = (
     "os.path.exists", "os.path.isfile", "os.path.isdir", "os.path.getsize", "shutil.copy",
     "shutil.copy2", "shutil.copyfile", "shutil.move", "shutil.rmtree", "flask.send_file",
 )
+# Methods of a pathlib path that touch the file system.
+PATH_METHODS = (
+    "read_text", "read_bytes", "write_text", "write_bytes", "open", "exists", "is_file", "is_dir", "unlink", "rmdir",
+    "mkdir", "iterdir", "glob", "rglob", "stat", "touch",
+)
 XPATH_CALLS = ("lxml.etree.XPath", "lxml.etree.ETXPath")
 LDAP_METHODS = ("search", "search_s", "search_st", "search_ext", "search_ext_s")
 REDIRECT_CALLS = (
@@ -119,6 +124,11 @@ def call_conditions() -> dict[str, tuple[Column, str | None]]:
 
 
 # kind of use -> condition over a call fact: what is a sink for request data
+def on_a_path() -> Column:
+    """A call of a file method on a path: what the path was made of is what counts."""
+    return _is("tail", *PATH_METHODS) & (_kw("#made") == "pathlib")
+
+
 def sink_conditions() -> dict[str, Column]:
     shell_list = F.col("kwargs").isNotNull() & (_kw("shell") != "True")
     same_site = F.coalesce(F.col("text"), F.lit("")).rlike(SAME_SITE)
@@ -128,7 +138,7 @@ def sink_conditions() -> dict[str, Column]:
         | (_is("qualified", *SUBPROCESS_CALLS) & (_kw("shell") == "True")),
         "sql": _is("tail", *EXECUTE_METHODS),
         "data": _is("call_name", "yaml.load", *PICKLE_CALLS),
-        "path": _is("qualified", *FILE_CALLS),
+        "path": _is("qualified", *FILE_CALLS) | on_a_path(),
         "xpath": _is("tail", "xpath") | _is("qualified", *XPATH_CALLS),
         "ldap": _is("tail", *LDAP_METHODS),
         "redirect": _is("qualified", *REDIRECT_CALLS) & ~same_site,
@@ -275,9 +285,9 @@ def random_matches(facts: DataFrame, levels: DataFrame) -> DataFrame:
         & F.lower(F.concat_ws(" ", "target", "key")).rlike(SECRET_PLACES)
     )
     reached = levels.filter(F.col("kind") == "random").select(
-        "repository_id", "path", "line", F.col("source_line").alias("made_at")
+        "repository_id", "path", "line", "col", F.col("source_line").alias("made_at")
     )
-    rows = places.join(reached, ["repository_id", "path", "line"])
+    rows = places.join(reached, ["repository_id", "path", "line", "col"])
     return _match(
         rows.withColumn("line", F.col("made_at")).withColumn("end_line", F.col("made_at")), "PY011"
     )

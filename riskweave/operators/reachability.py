@@ -70,7 +70,7 @@ PURE_CALLS = (
     "urllib.parse.unquote", "urllib.parse.unquote_plus", "urllib.parse.urlparse",
     "urllib.parse.urlsplit", "urllib.parse.urljoin", "urllib.parse.urlencode", "html.unescape",
     "os.path.join", "os.path.normpath", "os.path.abspath", "os.path.realpath", "os.path.dirname",
-    "os.path.splitext", "os.path.expanduser",
+    "os.path.splitext", "os.path.expanduser", "pathlib.Path", "pathlib.PurePath",
 )
 READ_METHODS = r"^(?:flask|quart|bottle)[.]request[.]|[.](?:format|strip|lower|upper|get)$"
 # check -> kinds the checked variable is safe for afterwards
@@ -80,6 +80,7 @@ GUARDS = {
     "membership": dims.KINDS,
     "host": ("redirect",),
     "prefix": ("path", "redirect"),
+    "one_literal": ("code",),
 }
 MAX_REASONS = 48
 
@@ -161,28 +162,35 @@ def taint_guard_edges(guards: DataFrame) -> DataFrame:
     )
 
 
-def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, sinks) inside each function, from ``python_call_facts``.
+def flow_tables(facts: DataFrame) -> dict[str, DataFrame]:
+    """Rows of ``file_flow.solved`` by name, from ``python_call_facts``.
 
-    Variables are nodes; an assignment moves data from every variable it reads.  The order of
-    statements is not followed: what a variable ever held, it holds.  Whatever is not understood
-    (a global, a plain parameter, the result of an unknown call) is an opaque node.
+    Versions of variables are nodes; an assignment moves data from every version it reads, a merge from the versions
+    that arrive, a guard to the next version.  Whatever is not understood (a global, the result of an unknown
+    call) is an opaque node; a plain parameter is whatever a caller gives.
     """
-    from riskweave.operators.python_rules import LDAP_METHODS, SECRET_PLACES, sink_conditions
+    from riskweave.operators.python_rules import LDAP_METHODS, SECRET_PLACES, on_a_path, sink_conditions
 
     none = F.lit(None).cast("string")
-    repository = F.col("repository_id").cast("string")
+    # A file is its repository and the hash of its path: no separator can be part of either.
+    file = F.concat_ws("|", F.col("repository_id").cast("string"), F.md5("path"))
+    function = F.concat_ws("|", file, "scope")
+    followed = F.concat_ws("|", file, "qualified")
 
     def var(name) -> Column:
-        return F.concat_ws("|", repository, "path", "scope", name)
+        return F.concat_ws("|", file, "scope", name)
 
     def place() -> Column:
         at = F.concat_ws(":", F.col("line").cast("string"), F.col("col").cast("string"))
-        return F.concat_ws("|", repository, "path", F.concat(F.lit("@"), "fact"), at)
+        given = F.when(F.col("fact") == "argument", F.col("target"))
+        return F.concat_ws("|", file, F.concat(F.lit("@"), "fact"), at, given)
 
-    def more(key: str) -> Column:
-        listed = F.filter(F.split(F.coalesce(F.col("kwargs")[key], F.lit("")), ","), lambda x: x != "")
-        return F.when(one_of(F.col("tail"), LDAP_METHODS), listed).otherwise(_strings([]))
+    def listed(key: str) -> Column:
+        return F.filter(F.split(F.coalesce(F.col("kwargs")[key], F.lit("")), ","), lambda x: x != "")
+
+    def carried(own: str, rest: str, on: str) -> Column:
+        more = F.when(one_of(F.col("tail"), LDAP_METHODS), listed(rest)).otherwise(_strings([]))
+        return F.when(F.coalesce(on_a_path(), F.lit(False)), listed(on)).otherwise(F.array_union(own, more))
 
     understood = [*PURE_CALLS, *NUMERIC_FUNCTIONS, *LOOKUP_CALLS, *[name for name, _ in SANITISERS]]
 
@@ -193,21 +201,21 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         )
 
     assigns = facts.filter("fact = 'assign'")
-    moved = assigns.select("*", F.explode("names").alias("name")).select(
-        var("name").alias("src"), var("target").alias("dst"), _strings([]).alias("safe_for"),
+    moved = facts.filter("fact in ('assign', 'merge')").select("*", F.explode("names").alias("name")).select(
+        var("name").alias("src"), var("slot").alias("dst"), _strings([]).alias("safe_for"),
         "qualified", "line", F.lit(False).alias("replaces_quote"),
     )
     # A read assigned through a call passes that call, like a variable would.
-    read_into = F.concat(var("target"), F.lit("|read"))
+    read_into = F.concat(var("slot"), F.lit("|read"))
     read_moved = assigns.filter("size(reads) > 0").select(
-        read_into.alias("src"), var("target").alias("dst"), _strings([]).alias("safe_for"), "qualified", "line",
+        read_into.alias("src"), var("slot").alias("dst"), _strings([]).alias("safe_for"), "qualified", "line",
         F.lit(False).alias("replaces_quote"),
     )
     kept, looked_up = taint_cut_edges(taint_sanitise_edges(moved.unionByName(read_moved)))
 
-    used = facts.filter("fact in ('call', 'return', 'store')").withColumn(
-        "names", F.array_union("names", more("#rest"))
-    ).withColumn("reads", F.array_union("reads", more("#rest_reads")))
+    used = facts.filter("fact in ('call', 'return', 'store', 'argument')").withColumn(
+        "names", carried("names", "#rest", "#on")
+    ).withColumn("reads", carried("reads", "#rest_reads", "#on_reads"))
     into = used.select("*", F.explode("names").alias("name")).select(
         var("name").alias("src"), place().alias("dst"), _strings([]).alias("safe_for"),
         F.when(F.size("calls") == 1, F.get("calls", F.lit(0))).alias("qualified"), "line",
@@ -221,7 +229,8 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.lit(False).alias("replaces_quote"),
     )
     into = taint_sanitise_edges(into.unionByName(direct)).filter(~is_numeric_call())
-    edges = kept.unionByName(into).select("src", "dst", "safe_for")
+    guards = facts.filter("fact = 'guard'").select(var("target").alias("variable"), "version", F.col("key").alias("check"))
+    edges = kept.unionByName(into).select("src", "dst", "safe_for").unionByName(taint_guard_edges(guards))
 
     def reads_of(rows: DataFrame, node: Column) -> DataFrame:
         return rows.filter("size(reads) > 0").select(
@@ -232,11 +241,11 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     carries = ~is_numeric_call() & ~is_lookup_call()
     parameters = facts.filter("fact = 'parameter'")
     routes = parameters.filter("built").select(
-        var("target").alias("id"), F.lit("parameter").alias("what"), none.alias("part"),
+        var("slot").alias("id"), F.lit("parameter").alias("what"), none.alias("part"),
         F.col("text").alias("annotation"), "line",
     )
     chance = assigns.select("*", F.explode("calls").alias("called")).filter("called like 'random.%'").select(
-        var("target").alias("id"), F.lit("random").alias("what"),
+        var("slot").alias("id"), F.lit("random").alias("what"),
         F.substring_index("called", ".", -1).alias("part"), none.alias("annotation"), "line",
     )
     sources = taint_sources(
@@ -250,7 +259,8 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         )
 
     touched = facts.filter("fact = 'touched'")
-    defined = facts.filter("fact in ('assign', 'parameter')").select(var("target").alias("id")).distinct()
+    bound = facts.filter("fact in ('assign', 'parameter', 'merge', 'guard', 'followed')")
+    defined = bound.select(var("slot").alias("id")).distinct()
     mentioned = assigns.select("*", F.explode("names").alias("name")).select(var("name").alias("id"), "line")
     mentioned = mentioned.unionByName(
         used.select("*", F.explode("names").alias("name")).select(var("name").alias("id"), "line")
@@ -258,9 +268,8 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = (
         sources.unionByName(looked_up)
         .unionByName(opaque(mentioned.join(defined, "id", "left_anti"), F.col("id")))
-        .unionByName(opaque(parameters.filter("not built"), var("target")))
-        .unionByName(opaque(touched, var("target")))
-        .unionByName(opaque(assigns.filter(unknown_call() & carries), var("target")))
+        .unionByName(opaque(touched, var("slot")))
+        .unionByName(opaque(assigns.filter(unknown_call() & carries), var("slot")))
         .unionByName(opaque(used.filter(unknown_call()), place()))
     )
 
@@ -272,9 +281,17 @@ def flow_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.explode(F.array_compact(F.array(*conditions))).alias("kind"),
     ).distinct()
     named = assigns.filter(F.lower("target").rlike(SECRET_PLACES)).select(
-        var("target").alias("id"), "repository_id", "path", "line", "col", F.lit("random").alias("kind")
+        var("slot").alias("id"), "repository_id", "path", "line", "col", F.lit("random").alias("kind")
     )
-    return nodes, edges, sinks.unionByName(named.distinct())
+    return {
+        "nodes": nodes, "edges": edges, "sinks": sinks.unionByName(named.distinct()),
+        "parameters": parameters.filter("not built").select(var("slot").alias("id"), function.alias("function"), F.col("target").alias("name"), "line"),
+        "returns": facts.filter("fact = 'return'").select(place().alias("id"), function.alias("function")),
+        "calls": facts.filter("fact = 'followed'").select(var("slot").alias("id"), followed.alias("function")),
+        "arguments": facts.filter("fact = 'argument'").select(
+            place().alias("id"), followed.alias("function"), F.col("target").alias("name"), var("slot").alias("result")
+        ),
+    }
 
 
 def parsed_once(facts: DataFrame) -> DataFrame:
@@ -287,54 +304,116 @@ def python_levels(facts: DataFrame) -> DataFrame:
 
     ``facts`` should come from ``parsed_once``.
     """
-    nodes, edges, sinks = flow_tables(facts)
-    state = materialise(propagate(nodes, edges))
-    sinks = materialise(sinks)
-    wanted = sinks.filter("kind <> 'random'")
-    levels = classify(state, wanted).join(
-        wanted.select("id", "kind", "repository_id", "path", "line", "col"), ["id", "kind"]
-    )
-    found = levels.select(
+    from riskweave.operators.file_flow import solved
+
+    tables = flow_tables(facts)
+    sinks = tables["sinks"]
+    found = solved(**{**tables, "sinks": sinks.select("id", "kind").distinct()}, file_of=F.substring_index("a", "|", 2))
+    return found.join(sinks, ["id", "kind"]).select(
         "repository_id", "path", "line", "col", "kind", "level", F.col("source").alias("source_line")
     )
-    # A weak random number keeps its origin whatever it passed through: any kind will do.
-    chance = state.filter(F.col("origin") == dims.RANDOM).groupBy("id").agg(F.min("source").alias("source"))
-    weak = sinks.filter("kind = 'random'").join(chance, "id").select(
-        "repository_id", "path", "line", "col", "kind", F.lit(dims.TAINTED).alias("level"),
-        F.col("source").alias("source_line"),
-    )
-    return found.unionByName(weak)
 
 
 # --- propagation ---------------------------------------------------------------------------
 
 
+def _mask(safe: Column, kinds: tuple[str, ...]) -> Column:
+    """The kinds of a list as bits."""
+    out = F.lit(0).cast("bigint")
+    for i, kind in enumerate(kinds):
+        out = out.bitwiseOR(F.when(F.array_contains(safe, kind), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    return out
+
+
+def _chains(steps: DataFrame, kept: DataFrame) -> tuple[DataFrame, int]:
+    """``id, up, mask, dead``: nodes with one way in, the node each hangs from, and what is made safe on the way.
+
+    A node that is no source and has one edge in holds what its predecessor holds, less what that edge makes safe.  Pointers
+    to predecessors are doubled and the sets joined, so after k rounds every chain of 2^k steps has been run through.  When a round
+    settles nothing more, what is left hangs from a ring that nothing enters: ``dead``.
+    """
+    into = steps.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("up"), F.first("mask").alias("mask")).filter("n = 1")
+    single = into.select(F.col("dst").alias("id"), "up", "mask").join(kept, "id", "left_anti")
+    pointers = materialise(single.withColumn("dead", F.lit(False)))
+    count = pointers.count()
+    if not count:
+        return pointers, 0
+    open_before = None
+    while True:
+        ahead = pointers.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("mask").alias("more"))
+        jumped = pointers.join(ahead, "up", "left").select(
+            "id", F.coalesce("further", "up").alias("up"), F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask"),
+            F.col("further").isNotNull().alias("dead"),
+        )
+        pointers = materialise(jumped)
+        still = pointers.filter("dead").count()
+        if still in (0, open_before):
+            return pointers, count
+        open_before = still
+
+
+def _contracted(steps: DataFrame, chains: DataFrame) -> DataFrame:
+    """The edges between the nodes that are left; of several ways only what all make safe stays safe."""
+    hung = chains.select(F.col("id").alias("src"), F.col("up"), F.col("mask").alias("more"), "dead")
+    rest = steps.join(chains.select(F.col("id").alias("dst")), "dst", "left_anti").join(hung, "src", "left")
+    rest = rest.filter("not coalesce(dead, false)").select(
+        F.coalesce("up", "src").alias("src"), "dst", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask")
+    )
+    return materialise(rest.filter("src <> dst").groupBy("src", "dst").agg(F.bit_and("mask").alias("mask")))
+
+
 def propagate(
     nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = dims.KINDS
 ) -> DataFrame:
     """``state(id, kind, origin, source)``: the least source of each origin that reaches a node.
 
-    Semi-naive: each round moves only what improved in the last one, against all that is known
+    First nodes with one way in are taken out (``_chains``), edges that have become parallel are merged, and that is repeated
+    while it takes out a tenth of the nodes; long chains, trees and ladders so cost rounds by the logarithm of their depth.
+    What is left is solved semi-naively: each round moves only what improved in the last one, against all that is known
     already.  Every round is written to the shared folder, so a lost executor repeats one round,
-    not all of them.  Sources only fall, so the rounds end by themselves however long a flow is.  What is
-    known is a few tables: a new one is merged with those before it that are no larger, so each row is
-    written again a logarithmic number of times and a round reads a logarithmic number of tables.
+    not all of them.  Sources only fall, so the rounds end by themselves however long a flow is.  Then the nodes that were taken
+    out get what the node they hang from holds, less what was made safe on the way.
     """
-    # Read by every round: written once, in the form the rounds join on.
-    steps = materialise(
-        edges.select("src", "dst", "safe_for").filter("src is not null and dst is not null")
-    )
+    masked = edges.filter("src is not null and dst is not null and src <> dst").select("src", "dst", _mask(F.col("safe_for"), kinds).alias("mask"))
+    steps = materialise(masked.groupBy("src", "dst").agg(F.bit_and("mask").alias("mask")))
+    bit = F.lit(0).cast("bigint")
+    for i, kind in enumerate(kinds):
+        bit = F.when(F.col("kind") == kind, F.lit(1 << i).cast("bigint")).otherwise(bit)
     start = nodes.select(
         "id", "origin", F.col("line").cast("bigint").alias("source"), "safe_for",
         F.explode(_strings(kinds)).alias("kind"),
     ).filter(~F.array_contains("safe_for", F.col("kind")))
     frontier = materialise(start.groupBy(*KEY).agg(F.min("source").alias("source")))
+    sources, taken = frontier.select("id").distinct(), []
+    while True:
+        chains, count = _chains(steps, sources)
+        if not count:
+            break
+        left = steps.count()
+        taken.append(chains)
+        steps = _contracted(steps, chains)
+        if 10 * count < left:
+            break
+    state = _settled(frontier, steps, bit)
+    for chains in reversed(taken):
+        state = materialise(state)
+        below = chains.filter("not dead").join(state.withColumnRenamed("id", "up"), "up").filter(F.col("mask").bitwiseAND(bit) == 0)
+        state = state.unionByName(below.select(*KEY, "source"))
+    return state
+
+
+def _settled(frontier: DataFrame, steps: DataFrame, bit: Column) -> DataFrame:
+    """Rounds over the edges until nothing improves.
+
+    What is known is a few tables: a new one is merged with those before it that are no larger, so each row is
+    written again a logarithmic number of times and a round reads a logarithmic number of tables.
+    """
     known_tables = [(frontier, frontier.count())]
     while True:
         seen = _union(known_tables)
         moved = (
             steps.join(frontier.withColumnRenamed("id", "src"), "src")
-            .filter(~F.array_contains("safe_for", F.col("kind")))
+            .filter(F.col("mask").bitwiseAND(bit) == 0)
             .groupBy(F.col("dst").alias("id"), "kind", "origin")
             .agg(F.min("source").alias("source"))
         )

@@ -72,6 +72,16 @@ SNIPPETS: tuple[tuple[str, str, dict[str, tuple[int, ...]]], ...] = (
     (".py", "from flask import request, session\nu = request.args['u']\nsession['user'] = u\nsession['n'] = 1",
      {"PY022": (2,)}),
     (".py", "resp.set_cookie('a', {w}, secure=False)\nresp.set_cookie('a', {w}, secure=True)", {"PY023": (0,)}),
+    (".py", "from flask import request\ndef load{d}():\n    name = request.args['n']\n    if '..' in name:\n        return ''\n    open(name)", {}),
+    (".py", "from flask import request\ndef load{d}():\n    name = request.args['n']\n    if '..' in name:\n        log(name)\n    open(name)",
+     {"PY017": (5,)}),
+    (".py", "from flask import request\ndef load{d}(path):\n    open(path)\ndef view():\n    load{d}(request.args['n'])\n    load{d}('{w}')",
+     {"PY017": (2,)}),
+    (".py", "from flask import request\ndef name{d}(text):\n    return 'a{w}'\ndef view():\n    open(name{d}(request.args['n']))", {}),
+    (".py", "from flask import request\ndef wrap{d}(text):\n    return text\ndef view():\n    a = wrap{d}(request.args['n'])\n    b = wrap{d}('{w}')\n"
+     "    open(b)\n    open(a)", {"PY017": (7,)}),
+    (".py", "from pathlib import Path\nfrom flask import request\nbase = Path('/data')\nplace = base / request.args['n']\nbase.read_text()\n"
+     "place.read_text()", {"PY017": (5,)}),
     (".py", "def broken(:\n    pass", {}),
 )
 
