@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riskweave.streaming.ordered import framed, in_order
+
 # --- fixed values: the default limit ---
 MAX_HITS = 10
 WINDOW_SECONDS = 300
@@ -71,8 +73,8 @@ def sliding_rate_limit_stream(
 ) -> DataFrame:
     """The same over a stream ``(key, event_id, ts)``: state is the accepted times of a key.
 
-    Hits of a key must arrive in time order (within a micro-batch they are sorted); state is
-    dropped one window after a key falls silent.
+    Hits of a key must arrive in time order (within a micro-batch they are put in order, two numbers a hit);
+    state is dropped one window after a key falls silent.
     """
     window = window_seconds * 1_000_000
 
@@ -81,15 +83,17 @@ def sliding_rate_limit_stream(
             state.remove()
             return
         recent = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["at_us", "event_id"])
-        out = [
-            (key[0], int(event), int(at), *decide(recent, int(at), limit, window))
-            for event, at in zip(rows["event_id"], rows["at_us"], strict=True)
-        ]
+        latest = 0
+
+        def decided() -> Iterator[tuple]:
+            nonlocal latest
+            for at, event in in_order(frames, ("at_us", "event_id")):
+                latest = at
+                yield (key[0], event, at, *decide(recent, at, limit, window))
+
+        yield from framed(decided(), ["key", "event_id", "at_us", "allowed", "remaining", "retry_after"])
         state.update((list(recent),))
-        latest = int(rows["at_us"].max()) // 1000 + window_seconds * 1000
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "event_id", "at_us", "allowed", "remaining", "retry_after"])
+        state.setTimeoutTimestamp(max(latest // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
     timed = hits.withWatermark("ts", f"{window_seconds} seconds").select(
         F.col("key").cast("string").alias("key"), "event_id", F.unix_micros("ts").alias("at_us"), "ts"

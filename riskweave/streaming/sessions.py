@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riskweave.streaming.ordered import framed, in_order
+
 ALERTS = "family_id bigint, token_id bigint, event_id bigint, at_us bigint, outcome string"
 
 
@@ -21,19 +23,21 @@ def refresh_reuse_stream(presentations: DataFrame) -> DataFrame:
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used, revoked = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
-        rows = pd.concat(list(frames)).sort_values(["at_us", "event_id"])
-        out = []
-        for token, event, at in zip(rows["token_id"], rows["event_id"], rows["at_us"], strict=True):
-            if revoked:
-                outcome = "refused"
-            elif token in used:
-                outcome, revoked, used = "reuse", True, set()
-            else:
-                outcome = "rotated"
-                used.add(int(token))
-            out.append((key[0], int(token), int(event), int(at), outcome))
+
+        def judged() -> Iterator[tuple]:
+            nonlocal used, revoked
+            for at, event, token in in_order(frames, ("at_us", "event_id"), ("token_id",)):
+                if revoked:
+                    outcome = "refused"
+                elif token in used:
+                    outcome, revoked, used = "reuse", True, set()
+                else:
+                    outcome = "rotated"
+                    used.add(token)
+                yield key[0], token, event, at, outcome
+
+        yield from framed(judged(), ["family_id", "token_id", "event_id", "at_us", "outcome"])
         state.update((sorted(used), revoked))
-        yield pd.DataFrame(out, columns=["family_id", "token_id", "event_id", "at_us", "outcome"])
 
     timed = presentations.select("family_id", "token_id", "event_id", F.unix_micros("presented_at").alias("at_us"))
     return timed.groupBy("family_id").applyInPandasWithState(

@@ -44,3 +44,18 @@ def test_stream_equals_batch(spark, tmp_path):
         ).trigger(availableNow=True).start().awaitTermination()
     got = {r.event_id: r.allowed for r in spark.read.parquet(out).collect()}
     assert got == brute(rows)
+
+
+def test_rows_come_in_order_and_in_bounded_frames(monkeypatch):
+    import pandas as pd
+
+    from riskweave.streaming import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK", 7)
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 9), i, 2**62 + i) for i in range(60)]
+    frames = (pd.DataFrame(rows[at : at + 11], columns=["a", "b", "c"]) for at in range(0, 60, 11))
+    read = iter(ordered.in_order(frames, ("a", "b"), ("c",)))
+    assert list(read) == sorted(rows) and list(ordered.in_order(iter([]), ("a",))) == []
+    sizes = [len(frame) for frame in ordered.framed(iter(rows), ["a", "b", "c"])]
+    assert sum(sizes) == 60 and max(sizes) == 7
