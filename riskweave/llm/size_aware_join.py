@@ -14,11 +14,12 @@ sizes n and m link when they share at least ``needed(n, m)`` members.
 * **The boundary** is the size at which subsets cost more rows than lists: per size the number of subsets is known, and the
   length of the lists is summed from the sketch (``boundary``).
 
-Pairs of a list are never all made.  A posted set first meets one set of its list and size class, the leader; confirmed links
+Pairs of a list are never all made.  A posted set first meets one set of its list, the leader; confirmed links
 give components.  Where a list still spans several components, only the sets outside the largest one (movers) have to
-meet the others, in cells of at most ``CELL`` by ``CELL`` sets on average.  Before texts move, a pair has to pass an exact bound: bit parities
-of a set make a map of ``MAP_WORDS`` words, and two maps differ in no more bits than the sets differ in members.  What passes is
-checked on full sets rebuilt from the whole texts.  Texts of documents that meet no other are left where they are: a Bloom
+meet the others, in cells of at most ``CELL`` by ``CELL`` sets on average: first every mover and the nearest set of another component
+in each of its cells, then, between the components that are left, all that may link.  A pair that may link has passed an exact bound: bit parities
+of a set make a map of some bits a member, and two maps differ in no more bits than the sets differ in members.  Such pairs, each once however
+many lists they share, are checked on full sets rebuilt from the whole texts.  Texts of documents that pass with no other are left where they are: a Bloom
 filter of fixed size over the ids in question picks rows while the texts are scanned.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; fewer words than a shingle make
@@ -31,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.bbit_minhash import shingles
 from riskweave.llm.components import components, relabelled
+from riskweave.llm.id_filter import may_be_one_of
 from riskweave.llm.text import Hashes, encoded, mixed, window_hashes
 from riskweave.session import materialise
 
@@ -48,8 +50,10 @@ WIDTH, PERCENT = 3, 90
 SMALLEST_LARGE = 30
 #: Counters of the frequency sketch, in blocks that are summed apart.
 COUNTERS, BLOCKS = 1 << 20, 64
-#: 64-bit words of a parity map, and of the Bloom filter over ids.
-MAP_WORDS, BLOOM_WORDS = 16, 1 << 19
+#: 64-bit words of a parity map, at least and at most; a map has four bits a member or more up to that.
+LEAST_WORDS, MOST_WORDS = 4, 1024
+#: Words at most of the brief map that travels with every pair and cell; the whole map is asked of what passes it.
+BRIEF_WORDS = 8
 #: Sets on a side of a cell on average, and rows and characters of the groups that cells are put together in.
 CELL, GROUP_ROWS, GROUP_CHARS = 512, 4000, 24_000_000
 
@@ -90,12 +94,18 @@ def sketch(documents: DataFrame, width: int = WIDTH) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, counters = Hashes(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
+            places, held = [], 0
             for text in batch["text"]:
                 words = encoded(text).lower().split()
                 if words:
                     numbers = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    at = (window_hashes(numbers, min(width, len(words))) & np.uint64(COUNTERS - 1)).astype(np.int64)
-                    np.add.at(counters, at, 1)
+                    places.append((window_hashes(numbers, min(width, len(words))) & np.uint64(COUNTERS - 1)).astype(np.int64))
+                    held += len(words)
+                if held > COUNTERS:
+                    counters += np.bincount(np.concatenate(places), minlength=COUNTERS)
+                    places, held = [], 0
+            if places:
+                counters += np.bincount(np.concatenate(places), minlength=COUNTERS)
         if counters.any():
             yield pd.DataFrame({"block": np.arange(BLOCKS), "counters": [part.astype("<i8").tobytes() for part in counters.reshape(BLOCKS, size)]})
 
@@ -119,15 +129,24 @@ def sketch(documents: DataFrame, width: int = WIDTH) -> np.ndarray:
 # ---- sets
 
 
-def parity_map(members: np.ndarray) -> np.ndarray:
-    """Bit parities of a set: two maps differ in at most as many bits as the sets in members."""
-    bits = np.bincount((mixed(members) >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+def parity_map(members: np.ndarray, most: int = MOST_WORDS) -> np.ndarray:
+    """Bit parities of a set, a power of two of words: two maps of one width differ in at most as many bits as the sets in members.
+
+    A map is halved by joining its halves with exclusive or.
+    """
+    words = LEAST_WORDS
+    while words < most and 16 * words < len(members):
+        words *= 2
+    bits = np.bincount((mixed(members) >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
 def signed(documents: DataFrame, frequency: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: id, hash of the text, size, characters, digest, parity map, posted members, length of their lists, and all members of a small set."""
 
+    # What other shingles leave in a counter on average is not counted.
+    others = int(frequency.sum()) // COUNTERS
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for batch in batches:
@@ -135,19 +154,19 @@ def signed(documents: DataFrame, frequency: np.ndarray, width: int = WIDTH, perc
             for text in batch["text"]:
                 members = shingles(text, width, hashes)
                 if not len(members):
-                    out.append((0, len(text or ""), None, None, None, 0, None))
+                    out.append((0, len(text or ""), None, None, None, None, 0, None))
                     continue
                 often = frequency[(members & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 first = np.argsort(often, kind="stable")[: posted(len(members), percent)]
                 digest = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
                 small = members.view(np.int64) if len(members) < SMALLEST_LARGE else None
-                out.append((len(members), len(text), digest, parity_map(members), members[first].view(np.int64), int(often[first].sum()), small))
-            made = pd.DataFrame(out, columns=["n", "chars", "digest", "map", "posted", "lists", "members"])
+                out.append((len(members), len(text), digest, parity_map(members), parity_map(members, BRIEF_WORDS), members[first].view(np.int64), int(np.maximum(often[first] - others, 1).sum()), small))
+            made = pd.DataFrame(out, columns=["n", "chars", "digest", "map", "brief", "posted", "lists", "members"])
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             made.insert(1, "text_hash", batch["text_hash"].to_numpy())
             yield made
 
-    schema = "doc_id long, text_hash long, n long, chars long, digest binary, map array<long>, posted array<long>, lists long, members array<long>"
+    schema = "doc_id long, text_hash long, n long, chars long, digest binary, map array<long>, brief array<long>, posted array<long>, lists long, members array<long>"
     return materialise(_texts(documents).mapInPandas(sign, schema))
 
 
@@ -202,35 +221,73 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
 
 def _near(n: Column, m: Column, left: Column, right: Column, percent: int) -> Column:
     """Whether sizes and parity maps allow a link."""
-    differ = F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * _needed(n, m, percent))
-
-
-def allowed(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray:
-    """The pairs of two sides that differ in component and that sizes and parity maps allow to link."""
-    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None]
-    may = (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    a, b = (np.stack(side["map"].to_numpy()).view(np.uint64) for side in (left, right))
-    differ = np.zeros(may.shape, np.int64)
-    for word in range(MAP_WORDS):
-        differ += np.bitwise_count(a[:, word][:, None] ^ b[:, word][None])
-    return may & (differ <= n + m - 2 * -(-percent * (n + m) // (100 + percent)))
-
 
-def _cells(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    for _, cell in group.groupby(["key", "i", "j"], sort=False):
-        side = cell["mover"].to_numpy()
-        if side.any() and not side.all():
-            yield cell[side], cell[~side]
-
-
-def may_link(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The rows of a group of cells that some row of the other side may link with."""
-    kept = [group.iloc[:0]]
-    for left, right in _cells(group):
-        may = allowed(left, right, percent)
-        kept += [left[may.any(axis=1)], right[may.any(axis=0)]]
-    return pd.concat(kept)
+    def halved(wide: Column, narrow: Column) -> Column:
+        half = F.floor(F.size(wide) / 2).cast("int")
+        joined = F.zip_with(F.slice(wide, 1, half), F.slice(wide, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(wide) > F.size(narrow), joined).otherwise(wide)
+
+    # Sizes that allow a link give widths that are equal or the double.
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    bits = F.zip_with(halved(left, right), halved(right, left), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return sizes & (F.aggregate(bits, F.lit(0), lambda a, b: a + b) <= n + m - 2 * _needed(n, m, percent))
+
+
+def _differing(maps: list[np.ndarray], width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the maps of the pairs differ, at the width of the narrower one."""
+    out, common = np.zeros(len(x), np.int64), np.minimum(width[x], width[y])
+    for words in np.unique(common):
+        at = np.flatnonzero(common == words)
+        rows, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+        grid = np.stack([m if len(m) == words else m[:words] ^ m[words:] for m in (maps[r] for r in rows)])
+        out[at] = np.bitwise_count(grid[place[: len(at)]] ^ grid[place[len(at) :]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def allowed(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mover, other (places in the group) and differing bits of the pairs of a cell that differ in component and may link."""
+    cell, mover = group.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy(), group["mover"].to_numpy()
+    n, component = group["n"].to_numpy(), group["component"].to_numpy()
+    maps = [np.asarray(m, np.int64).view(np.uint64) for m in group["map"]]
+    width = np.array([len(m) for m in maps], np.int64)
+    left, right = np.flatnonzero(mover), np.flatnonzero(~mover)
+    right = right[np.argsort(cell[right], kind="stable")]
+    start, stop = (np.searchsorted(cell[right], cell[left], side) for side in ("left", "right"))
+    out, ends = [], np.cumsum(stop - start)
+    at = 0
+    while at < len(left):
+        # As many movers as have some 20,000 pairs; at least one.
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 20_000, "right")))
+        counts = (stop - start)[at:to]
+        x = np.repeat(left[at:to], counts)
+        y = right[np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start[at:to], counts)]
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        may = (component[x] != component[y]) & (100 * small >= percent * large)
+        x, y = x[may], y[may]
+        differ = _differing(maps, width, x, y)
+        may = differ <= n[x] + n[y] - 2 * -(-percent * (n[x] + n[y]) // (100 + percent))
+        out.append((x[may], y[may], differ[may]))
+        at = to
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+
+
+def nearest(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``a, b``: every mover and the set of another component in its cell that differs from it in the fewest bits."""
+    x, y, differ = allowed(group, percent)
+    ids, order = group["id"].to_numpy(), np.lexsort((group["id"].to_numpy()[y], differ, x))
+    first = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+    return pd.DataFrame({"a": ids[x[first]], "b": ids[y[first]]})
+
+
+def every_near(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``a, b``: every mover and every set of another component in its cell that it may link with."""
+    x, y, _ = allowed(group, percent)
+    ids = group["id"].to_numpy()
+    return pd.DataFrame({"a": ids[x], "b": ids[y]}).drop_duplicates()
+
+
+def _chosen(choose: Callable, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda group: choose(group, percent)
 
 
 def links_of(group: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
@@ -243,23 +300,25 @@ def links_of(group: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
             parent[x] = x = parent.get(up, up)
         return x
 
-    def members(row: tuple[int, int, str]) -> np.ndarray:
-        if row[:2] not in known:
-            known[row[:2]] = shingles(row[2], width, hashes)
-        return known[row[:2]]
-
-    for left, right in _cells(group):
-        sides = [list(zip(s["id"], s["text_hash"], s["text"], strict=True)) for s in (left, right)]
-        ours, theirs = left["component"].to_numpy(), right["component"].to_numpy()
-        for x, y in np.argwhere(allowed(left, right, percent)):
-            one, two = root(int(ours[x])), root(int(theirs[y]))
-            if one == two:
-                continue
-            a, b = members(sides[0][x]), members(sides[1][y])
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                parent[max(one, two)] = min(one, two)
-                found.add((max(ours[x], theirs[y]), min(ours[x], theirs[y])))
+    names, texts = list(zip(group["id"], group["text_hash"], strict=True)), group["text"].to_numpy()
+
+    def members(at: int) -> np.ndarray:
+        if names[at] not in known:
+            known[names[at]] = shingles(texts[at], width, hashes)
+        return known[names[at]]
+
+    component = group["component"].tolist()
+    x, y, differ = allowed(group, percent)
+    for place in np.argsort(differ, kind="stable"):
+        one, two = int(x[place]), int(y[place])
+        ours, theirs = component[one], component[two]
+        if (r := root(ours)) == (q := root(theirs)):
+            continue
+        a, b = members(one), members(two)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            parent[max(r, q)] = min(r, q)
+            found.add((max(ours, theirs), min(ours, theirs)))
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
@@ -267,8 +326,9 @@ def _grouped(rows: DataFrame, count: int) -> DataFrame:
     return rows.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(count))).groupBy("g")
 
 
-def confirmed(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(cells: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b`` of components that link in a cell ``(key, i, j, mover, id, text_hash, component, n, map, chars)``."""
+    texts = in_question(documents, cells.select("id").distinct())
     rows, chars = cells.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
@@ -280,37 +340,41 @@ def confirmed(cells: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return materialise(_grouped(joined, groups).applyInPandas(check, "a long, b long").distinct())
 
 
-def in_question(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, text_hash, text`` of the rows whose id may be one of ``ids``, each once; a Bloom filter of ``BLOOM_WORDS`` words."""
-    bits = 64 * BLOOM_WORDS
-    places = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits)) for seed in (1, 2)])).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
-    table = np.zeros(BLOOM_WORDS, np.int64)
-    for part in words.toArrow().to_batches():
-        table[part.column("word").to_numpy()] = part.column("set").to_numpy()
-    table = table.view(np.uint64)
-
-    @F.pandas_udf("boolean")
-    def may(one: pd.Series, two: pd.Series) -> pd.Series:
-        hit = [(table[at.to_numpy() >> 6] >> (at.to_numpy() & 63).astype(np.uint64)) & np.uint64(1) for at in (one, two)]
-        return pd.Series((hit[0] & hit[1]).astype(bool))
-
-    known = _texts(texts).filter("doc_id is not null").withColumnRenamed("doc_id", "id")
-    asked = known.filter(may(*[F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits)) for seed in (1, 2)]))
+def in_question(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, text_hash, text`` of the rows whose id may be one of ``ids (id)``, each once."""
+    known = _texts(documents).withColumnRenamed("doc_id", "id")
+    asked = known.filter(may_be_one_of(ids)(F.col("id")))
     return materialise(asked.groupBy("id", "text_hash").agg(F.first("text").alias("text")))
 
 
 def stars(pairs: DataFrame) -> DataFrame:
     """Cells of one leader and at most about ``CELL`` of its sets, from ``a, b`` (b the leader): ``key, i, j, mover, id``."""
-    crowds = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    # Written first: a join that groups by the same key could not be split.
+    crowds = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).cast("int").alias("i")
     rows = pairs.join(crowds, "b").select(F.col("b").alias("key"), part, F.lit(0).alias("j"), F.lit(True).alias("mover"), F.col("a").alias("id"))
     leads = crowds.select(F.col("b").alias("key"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("mover"), F.col("b").alias("id"))
     return rows.unionByName(leads)
 
 
-def between(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Cells between the sets outside the largest component of a list and all others, only rows that may link."""
+def met_in_stars(pairs: DataFrame, marks: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The cells of ``stars`` with what a check needs; a set is its own component where there are no labels."""
+    cells = stars(pairs).hint("merge").join(marks.hint("merge"), "id")
+    if labels is None:
+        return materialise(cells.withColumn("component", F.col("id")))
+    return materialise(cells.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+
+
+def passing(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that sizes and maps of ``marks (id, n, map)`` allow to link."""
+    one, two = (marks.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"map{s}")) for s in "ab")
+    # Both sides grow with the input: merged at every size.  No grouping by these keys, so that hot ones can be split.
+    joined = pairs.hint("merge").join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    return materialise(joined.filter(_near(F.col("na"), F.col("nb"), F.col("mapa"), F.col("mapb"), percent)).select("a", "b"))
+
+
+def between(members: DataFrame, marks: DataFrame) -> tuple[DataFrame, int]:
+    """Cells between the sets outside the largest component of a list and all others, and how many rows they have."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("sets"))
     spans = sizes.groupBy("key").agg(F.max(F.struct("sets", "component")).alias("top"), F.count("*").alias("parts"), F.sum("sets").alias("m"))
     spans = materialise(spans.filter("parts > 1").select(
@@ -325,48 +389,53 @@ def between(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     names = ["key", "i", "j", "id", "component"]
     sides = movers.select(*names, F.lit(True).alias("mover")).unionByName(others.select(*names, F.lit(False).alias("mover")))
     copied = spans.agg(F.sum(F.expr("moving * right + m * left"))).first()[0] or 0
+    return sides.hint("merge").join(marks.hint("merge"), "id"), copied
 
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        return may_link(group, percent)[["key", "i", "j", "mover", "id", "text_hash", "component", "n", "map", "chars"]]
 
-    schema = "key long, i int, j int, mover boolean, id long, text_hash long, component long, n long, map array<long>, chars long"
-    return materialise(_grouped(sides.join(marks, "id"), 1 + copied // GROUP_ROWS).applyInPandas(near, schema))
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    members = shared.hint("merge").join(labels.hint("merge"), "id", "left")
+    return members.select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links between components; ids that had no label so far are their own component."""
+    merged = components(links).select(F.col("id").alias("component"), F.col("component").alias("p"))
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    fresh = ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return materialise(relabelled(labels.unionByName(fresh), merged))
 
 
 def linked_sets(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id``."""
     rows = signed(documents, sketch(documents, width), width, percent)
     full = rows.filter("n > 0 and doc_id is not null")
-    first = [F.first(c).alias(c) for c in ("n", "chars", "map", "posted", "lists", "members")]
+    first = [F.first(c).alias(c) for c in ("n", "chars", "map", "brief", "posted", "lists", "members")]
     classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *first)
     classes = materialise(classes.select("digest", F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("text_hash"), *[c for c in classes.columns[2:]]))
     sizes = classes.filter(F.col("n") < SMALLEST_LARGE).groupBy("n").agg(F.count("*").alias("sets"), F.sum("lists").alias("lists"))
     below = boundary({r["n"]: (r["sets"], r["lists"]) for r in sizes.collect()}, percent)
     small = small_links(classes, below, percent)
 
-    # Lists with more than one set, and the leader of every size class in them.
-    size_class = F.floor(F.log("n") / -math.log(percent / 100)).cast("int") if percent < 100 else F.col("n")
+    # Lists with more than one set, and their leaders.
     large = classes.filter(100 * F.col("n") >= percent * below)
-    entries = large.select("id", "n", size_class.alias("class"), F.explode("posted").alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key")
-    shared = materialise(entries.join(lists, "key"))
-    leaders = shared.groupBy("key", "class").agg(F.min(F.struct(F.xxhash64("id"), "id")).alias("lead")).select("key", "class", F.col("lead.id").alias("b"))
-    met = materialise(shared.join(leaders, ["key", "class"]).filter("id <> b").select(F.col("id").alias("a"), "b"))
+    entries = large.select("id", F.explode("posted").alias("key"))
+    lists = entries.groupBy("key").agg(F.count("*").alias("sets"), F.min("id").alias("lead")).filter("sets > 1")
+    # Both sides of such joins grow with the input: merged at every size, never broadcast where still small.
+    shared = materialise(entries.hint("merge").join(lists.hint("merge"), "key"))
     marks = classes.select("id", "text_hash", "n", "map", "chars")
-    sided = [marks.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"map{s}")) for s in "ab"]
-    pairs = met.distinct().join(sided[0], "a").join(sided[1], "b")
-    pairs = materialise(pairs.filter(_near(F.col("na"), F.col("nb"), F.col("mapa"), F.col("mapb"), percent)).select("a", "b"))
-
-    texts = in_question(documents, shared.select("id").distinct())
-    cells = materialise(stars(pairs).join(marks, "id").withColumn("component", F.col("id")))
-    labels = components(small.unionByName(confirmed(cells, texts, width, percent)))
-
-    members = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = confirmed(between(members, marks, percent), texts, width, percent)
-    merged = components(more).select(F.col("id").alias("component"), F.col("component").alias("p"))
-    ends = more.select(F.col("a").alias("id")).union(more.select(F.col("b").alias("id"))).distinct()
-    fresh = ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
-    labels = materialise(relabelled(labels.unionByName(fresh), merged))
+    briefs = classes.select("id", "n", F.col("brief").alias("map"))
+    met = materialise(shared.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    pairs = passing(passing(met, briefs, percent), marks, percent)
+    labels = components(small.unionByName(confirmed(met_in_stars(pairs, marks), documents, width, percent)))
+
+    # In a list of two the pair has met.
+    shared = shared.filter("sets > 2").select("key", "id")
+
+    for choose in (nearest, every_near):
+        cells, count = between(_labelled(shared, labels), briefs)
+        pairs = materialise(_grouped(cells, 1 + count // GROUP_ROWS).applyInPandas(_chosen(choose, percent), "a long, b long"))
+        pairs = passing(materialise(pairs.distinct()), marks, percent)
+        labels = joined_by(labels, confirmed(met_in_stars(pairs, marks, labels), documents, width, percent))
 
     of_class = classes.select("digest", F.col("id").alias("least"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_class, "digest", "left")
