@@ -17,6 +17,7 @@ their texts, to the same cell, where full sets are compared as a matrix.  A cell
 components.  So rows are linear in a bucket (times its chunks), yet every candidate pair between components has
 been compared, and the components are those of all candidate pairs.  A task holds one group of cells at a time; groups
 are counted on the copied rows and on the characters of their texts, so a group has a few cells whatever the bucket.
+Texts of documents that are in no pair stay where they are: a Bloom filter over the ids picks rows while texts are scanned.
 
 Bands and rows are chosen so that a pair at the threshold misses every band with probability at most ``MISS``
 (4e-7 at 0.85 with 25 bands of 5; 5e-8 at 0.80 with 32 of 4).
@@ -39,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.components import components, relabelled
+from riskweave.llm.id_filter import may_be_one_of
 from riskweave.llm.text import Hashes, encoded, mixed, window_hashes
 from riskweave.session import materialise
 
@@ -172,13 +174,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pd.Series(out, dtype=bool)
 
     check = F.pandas_udf(linked, "boolean")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    chosen = materialise(texts.filter(may_be_one_of(needed)(F.col("id"))))
+    # An id that many meet comes in as many parts as it takes, each with its own copy of the text.
+    crowds = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
+    placed = pairs.join(crowds, "b").withColumn("part", F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).cast("int"))
+    leads = crowds.select("b", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     # Both sides of these joins grow with the input: merged at every size, never broadcast where still small.
-    chosen = texts.join(needed.hint("merge"), "id", "left_semi")
-    # The side met more often is joined last, so its texts arrive together.
-    joined = pairs.hint("merge").join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    joined = joined.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return joined.filter(check("tb", "ta")).select("a", "b").distinct()
+    left = placed.select("a", "b", "part").hint("merge").join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    right = leads.hint("merge").join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    return left.join(right, ["b", "part"]).filter(check("tb", "ta")).select("a", "b")
 
 
 def _cells(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
@@ -292,7 +297,7 @@ def between_components(members: DataFrame, marks: DataFrame, texts: DataFrame, w
     schema = "key long, i int, j int, mover boolean, id long, component long, chars long"
     left = sides.join(marks, "id").select(_group(groups_for(copied)), *names, "mover", "signature", "bands", "chars")
     kept = materialise(left.groupBy("g").applyInPandas(near, schema))
-    wanted = texts.join(kept.select("id").distinct().hint("merge"), "id", "left_semi")
+    wanted = texts.filter(may_be_one_of(kept.select("id"))(F.col("id")))
     met = kept.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
     into = _group(groups_for(*met))
     right = kept.join(wanted.hint("merge"), "id").select(into, "key", "i", "j", "mover", "id", "component", "text")
@@ -319,7 +324,8 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) ->
     left = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").filter(estimated(F.col("sa"), F.col("sb")) >= floor_of(threshold))
-    near = materialise(near.select("a", "b").distinct())
+    # No grouping by these keys: a bucket's least id is met by many, and only a plain join is split.
+    near = materialise(near.select("a", "b"))
     labels = components(confirmed(near, texts, width, percent))
 
     # Buckets that still span several components; in a bucket of two the pair has been compared.
