@@ -10,10 +10,12 @@ stays, also where they share an id or have none; an empty table passes through e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm import bbit_minhash, mixing_flow, packing_mbs, quality_fm, quality_ledger
+from riskweave.llm.id_filter import may_be_one_of
 from riskweave.session import materialise
 
 #: Near duplicates of the pipeline: words of a shingle, and similarity in percent.
@@ -40,21 +42,40 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.filter(score >= quality_fm.THRESHOLD) if machine else docs
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``_number, _row``: rows known by their file and their place in it, the same in every scan.
+
+    A frame that is not read from files is written first, so that it has them.
+    """
+    try:
+        file = docs.metadataColumn("_metadata").alias("_file")
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), file).select("_row", "_file.file_path", "_file.row_index")
+    except AnalysisException:
+        return _numbered(materialise(docs))
+    files = rows.select("file_path").distinct()
+    # One row per file; the driver's list of files is no shorter.
+    files = materialise(files.withColumn("file", F.row_number().over(Window.orderBy("file_path"))))
+    number = F.shiftleft(F.col("file").cast("long"), 40) + F.col("row_index")
+    return rows.join(files, "file_path").select(number.alias("_number"), "_row")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near duplicates: one of least id, null last.
 
-    Rows are numbered and written, and the numbers are what the operator knows them by, so rows that share an id
-    or have none are told apart.
+    Rows are numbered, and the numbers are what the operator knows them by, so rows that share an id or have none are
+    told apart.  Whole rows are scanned, never copied; only those that may have to go are shuffled.
     """
-    numbered = materialise(_carried(docs).withColumn("_number", F.monotonically_increasing_id()), compression="zstd")
+    numbered = _numbered(docs)
     found = bbit_minhash.near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "_row.text"), SHINGLE, PERCENT)
     found = materialise(found.select(F.col("doc_id").alias("_number"), "component_id"))
     # Every join is by the number, so a group of many copies is never one key.
     named = found.join(numbered.select("_number", F.col("_row.doc_id").alias("id")), "_number")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_number")
     least = named.groupBy("component_id").agg(F.min(order)["_number"].alias("_number")).select("_number")
-    gone = found.select("_number").join(least, "_number", "left_anti")
-    return numbered.join(gone, "_number", "left_anti").select("_row.*")
+    gone = materialise(found.select("_number").join(least, "_number", "left_anti"))
+    may = may_be_one_of(gone.select(F.col("_number").alias("id")))(F.col("_number"))
+    stays = numbered.filter(~may).unionByName(numbered.filter(may).join(gone, "_number", "left_anti"))
+    return stays.select("_row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
