@@ -50,6 +50,31 @@ def write_findings_state(
     )
 
 
+def _epochs(spark: SparkSession, root: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(root)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(target)] if system.exists(target) else []
+    return sorted(int(name.partition("=")[2]) for name in names if name.startswith("epoch="))
+
+
+def read_held(spark: SparkSession, path: str, before_epoch: int) -> DataFrame | None:
+    """What the newest epoch below ``before_epoch`` held back."""
+    root = f"{path.rstrip('/')}/held"
+    earlier = [epoch for epoch in _epochs(spark, root) if epoch < before_epoch]
+    return spark.read.parquet(f"{root}/epoch={earlier[-1]}") if earlier else None
+
+
+def write_held(rows: DataFrame, path: str, epoch: int) -> None:
+    """All rows held back after ``epoch`` (repeatable); what no repetition can read any more is deleted."""
+    spark, root = rows.sparkSession, f"{path.rstrip('/')}/held"
+    rows.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+    earlier = [e for e in _epochs(spark, root) if e < epoch]
+    for old in earlier[:-1]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/epoch={old}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def state_counts(state: DataFrame) -> DataFrame:
     """The row of counts a merge returns."""
     return state.agg(

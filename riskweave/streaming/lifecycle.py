@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskweave.operators import lifecycle
-from riskweave.sinks.state import bucket_of, read_state, write_findings_state
+from riskweave.sinks.state import bucket_of, read_held, read_state, write_findings_state, write_held
 
 SCAN_COLUMNS = ("repository_id", "scan_id", "status")
 
@@ -17,7 +17,8 @@ def merge_batch(batch: DataFrame, epoch: int, path: str) -> None:
 
     A scan is its rows, in any number of batches, and one end mark: a row with a NULL fingerprint, which
     comes last (a scan that found nothing is its end mark alone).  Rows of scans that have not ended are held
-    in ``parts`` and applied with the batch that brings the mark.  Scans that did not complete change
+    back and applied with the batch that brings the mark; then they are held no longer, so a batch costs what is held and not
+    the history.  Scans that did not complete change
     nothing.  A scan no newer than the last one applied to its repository is not applied and is
     written to ``late``.
     """
@@ -27,12 +28,10 @@ def merge_batch(batch: DataFrame, epoch: int, path: str) -> None:
         key = ["repository_id", "scan_id"]
         scans = done.filter("fingerprint is null").select(*key).distinct()
         rows = done.filter("fingerprint is not null").drop("status")
-        held = read_state(spark, path, epoch, "parts")
-        open_ = rows.join(scans, key, "left_anti")
-        if not open_.isEmpty():
-            write_findings_state(open_, path, epoch, table="parts")
+        held = read_held(spark, path, epoch)
         if held is not None:
             rows = rows.unionByName(held)
+        write_held(rows.join(scans, key, "left_anti"), path, epoch)
         ledger = read_state(spark, path, epoch, "ledger")
         late = None
         if ledger is not None:

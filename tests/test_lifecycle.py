@@ -93,3 +93,23 @@ def test_reuse_revokes_the_family(spark):
     rows = [(1, 10, 1, 1), (1, 11, 2, 2), (1, 10, 3, 3), (1, 12, 4, 4), (2, 20, 1, 5)]
     out = lifecycle.refresh_reuse(spark.createDataFrame(rows, "family_id bigint, token_id bigint, presented_at bigint, event_id bigint"))
     assert [tuple(r) for r in out.collect()] == [(1, 10, 3, 2, 1)]
+
+
+def test_held_rows_leave_with_their_scan(spark, tmp_path):
+    from riskweave.sinks.state import read_held
+    from riskweave.streaming.lifecycle import merge_batch
+
+    schema, path = "repository_id bigint, scan_id bigint, status string, fingerprint string, line_start int", str(tmp_path / "s")
+    batches = [
+        [(1, 1, "COMPLETED", "a", 1), (2, 1, "COMPLETED", "b", 2)],
+        [(1, 1, "COMPLETED", "c", 3), (1, 1, "COMPLETED", None, None)],
+        [(2, 1, "COMPLETED", "d", 4)],
+        [(2, 1, "COMPLETED", None, None)],
+    ]
+    held = []
+    for epoch, rows in enumerate(batches):
+        for _ in range(2):  # a micro-batch may be repeated
+            merge_batch(spark.createDataFrame(rows, schema), epoch, path)
+        held.append(sorted(r["fingerprint"] for r in read_held(spark, path, epoch + 1).collect()))
+    assert held == [["a", "b"], ["b"], ["b", "d"], []]
+    assert sorted(p.name for p in (tmp_path / "s" / "held").iterdir()) == ["epoch=2", "epoch=3"]
