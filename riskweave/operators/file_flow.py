@@ -1,7 +1,7 @@
 """Flow inside one file, with calls of its own functions matched to their returns.
 
-No edge leaves a file, so a file's graph is solved where its rows meet: one shuffle by file, no rounds.  A file is at most
-what was parsed at once, and a repository of any size is many groups.
+No edge leaves a file, so a file's graph is solved where its rows meet: one shuffle by file, no rounds.  Rows arrive in order
+of their file, and a task holds those of one file at a time; a file is at most what was parsed at once.
 
 Inside a function its parameters are names for whatever a caller may give.  Where such a name reaches a return, every call gets
 a summary edge from that argument to its own result, for the kinds of use that got through; where it reaches a sink, an edge from the
@@ -13,18 +13,24 @@ its calls.  A sink that only an unknown caller's value reaches is unknown.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import dims
 
 LEVELS = "id string, kind string, level string, source bigint"
+LEVELS_SCHEMA = pa.schema([("id", pa.string()), ("kind", pa.string()), ("level", pa.string()), ("source", pa.int64())])
 RANDOM_KIND = "random"
+#: Columns of a tagged row, after its file.
+TAGGED = ("tag", "a", "b", "name", "line", "safe_for")
+#: Rows of a batch that is handed back.
+BATCH = 8192
 
 
-def levels_of(rows: pd.DataFrame) -> pd.DataFrame:
+def levels_of(rows: Iterable[tuple]) -> list[tuple]:
     """Levels of the sinks of one file, from tagged rows (see ``solved``)."""
     steps: dict[str, list] = defaultdict(list)
     gates: dict[tuple[str, str], set[str]] = defaultdict(set)
@@ -46,14 +52,20 @@ def levels_of(rows: pd.DataFrame) -> pd.DataFrame:
                 if k == kind:
                     reach(end, kind, origin, source)
 
+    rows = list(rows)
+    asked = {name for tag, _, _, name, _, _ in rows if tag == "sink"}
+    if not asked:
+        return []
+    # Kinds never mix: only those that are asked for are followed.  A random value is one of any kind.
+    followed = [kind for kind in dims.KINDS if kind in asked or RANDOM_KIND in asked]
     begins = []
-    for tag, a, b, name, line, safe in rows[["tag", "a", "b", "name", "line", "safe_for"]].itertuples(index=False):
+    for tag, a, b, name, line, safe in rows:
         if tag == "edge":
             steps[a].append((b, frozenset(safe)))
         elif tag == "node":
-            begins += [(a, kind, name, line) for kind in dims.KINDS if kind not in safe]
+            begins += [(a, kind, name, line) for kind in followed if kind not in safe]
         elif tag == "parameter":
-            begins += [(a, kind, (b, name), line) for kind in dims.KINDS]
+            begins += [(a, kind, (b, name), line) for kind in followed]
         elif tag == "return":
             returns[a] = b
         elif tag == "call":
@@ -94,11 +106,33 @@ def levels_of(rows: pd.DataFrame) -> pd.DataFrame:
                 made = [s for (_, o), s in known[node].items() if o == dims.RANDOM]
                 out += [(node, kind, dims.TAINTED, min(made))] if made else []
                 continue
-            given = [s for (_, o), s in reasons.items() if o == dims.INPUT]
-            unsure = any(o == dims.OPAQUE or isinstance(o, tuple) for _, o in reasons)
+            # Nor is it a sink of what the helper reads itself: that goes to the calls of this file.
+            inside = node in returns and bool(results[returns[node]])
+            given = [s for (_, o), s in reasons.items() if o == dims.INPUT and not inside]
+            unsure = any(inside or o == dims.OPAQUE or isinstance(o, tuple) for _, o in reasons)
             out.append((node, kind, dims.TAINTED if given else dims.UNKNOWN if unsure else dims.CLEAN, min(given, default=None)))
-    found = pd.DataFrame(out, columns=["id", "kind", "level", "source"])
-    return found.astype({"source": "Int64"})
+    return out
+
+
+def _file_by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of all files of a task, whose rows come in order of their file; a file may go on in the next batch."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((),) * len(LEVELS_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LEVELS_SCHEMA, strict=True)], schema=LEVELS_SCHEMA)
+
+    current, held, out = None, [], []
+    for batch in batches:
+        for file, *row in zip(*[batch.column(name).to_pylist() for name in ("file", *TAGGED)], strict=True):
+            if held and file != current:
+                out += levels_of(held)
+                held = []
+                if len(out) >= BATCH:
+                    yield made(out)
+                    out = []
+            current = file
+            held.append(tuple(row))
+    yield made(out + levels_of(held))
 
 
 def solved(
@@ -126,4 +160,5 @@ def solved(
         .unionByName(tagged(calls, "call", "id", F.col("function")))
         .unionByName(tagged(arguments, "argument", "id", F.concat("function", F.lit("\x00"), "result"), F.col("name")))
     )
-    return every.withColumn("file", file_of).groupBy("file").applyInPandas(levels_of, LEVELS)
+    placed = every.select(file_of.alias("file"), *TAGGED)
+    return placed.repartition("file").sortWithinPartitions("file").mapInArrow(_file_by_file, LEVELS)
