@@ -302,15 +302,17 @@ def parsed_once(facts: DataFrame) -> DataFrame:
 def python_levels(facts: DataFrame) -> DataFrame:
     """``levels(repository_id, path, line, col, kind, level, source_line)`` for ``python_matches``.
 
-    ``facts`` should come from ``parsed_once``.
+    ``facts`` should come from ``parsed_once``.  The levels are written once as well: several rules join them.
     """
     from riskweave.operators.file_flow import solved
 
     tables = flow_tables(facts)
     sinks = tables["sinks"]
     found = solved(**{**tables, "sinks": sinks.select("id", "kind").distinct()}, file_of=F.substring_index("a", "|", 2))
-    return found.join(sinks, ["id", "kind"]).select(
-        "repository_id", "path", "line", "col", "kind", "level", F.col("source").alias("source_line")
+    return materialise(
+        found.join(sinks, ["id", "kind"]).select(
+            "repository_id", "path", "line", "col", "kind", "level", F.col("source").alias("source_line")
+        )
     )
 
 
