@@ -456,7 +456,8 @@ def classify(state: DataFrame, sinks: DataFrame) -> DataFrame:
 
 
 def taint_reachability(nodes: DataFrame, edges: DataFrame, sinks: DataFrame) -> DataFrame:
-    return classify(propagate(nodes, edges), sinks)
+    """``classify`` of ``propagate``; random origins, of which no level speaks, are not moved."""
+    return classify(propagate(nodes.filter(F.col("origin") != dims.RANDOM), edges), sinks)
 
 
 def taint_cap(reasons: DataFrame, limit: int = MAX_REASONS) -> DataFrame:
