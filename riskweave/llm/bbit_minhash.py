@@ -7,7 +7,8 @@ each minimum, packed into 64-bit words.  Documents of equal set are one class, r
 Candidates come from equal band keys.  The similarity of a candidate pair is estimated from the signatures by
 counting equal groups of bits (xor, fold, population count) and correcting for chance agreement
 (``(share - 2^-b) / (1 - 2^-b)``); pairs that are more than ``SIGMAS`` standard errors below the threshold are
-dropped, the others confirmed on full sets, rebuilt from the whole texts.
+dropped, the others confirmed on full sets, rebuilt from the whole texts: rows come in order of the id that is met, its own text first,
+and a worker turns few texts at a time into strings.
 
 A bucket's pairs are never all made.  First every member meets the bucket's least id, which is linear in the
 bucket, and links so found give components.  In buckets that still span several components, only the members
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ SIGMAS = 6.0
 MISS = 1e-6
 #: Movers and members of a cell, on average at most, and rows and characters of text of the groups that cells are put together in.
 CHUNK, GROUP_ROWS, GROUP_CHARS = 512, 4000, 32_000_000
+#: Rows whose texts are Python strings at once, and words whose hashes a worker keeps.
+SLICE, WORDS_HELD = 256, 1 << 17
 PER_LONG = 64 // BITS
 LOW = (1 << BITS) - 1
 
@@ -110,11 +114,17 @@ def signatures(documents: DataFrame, width: int, threshold: float) -> DataFrame:
     """``doc_id, n_shingles, chars, digest, bands, signature`` per row; the last three null for an empty set."""
     bands, rows = bands_for(threshold)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.schema([
+        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("chars", pa.int64()), ("digest", pa.binary()),
+        ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64())),
+    ])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        hashes.limit = WORDS_HELD
+        for batch in slices(batches):
             out = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 members = shingles(text, width, hashes)
                 if not len(members):
                     out.append((0, len(text or ""), None, None, None))
@@ -122,12 +132,18 @@ def signatures(documents: DataFrame, width: int, threshold: float) -> DataFrame:
                 least = minima(members)
                 digest = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
                 out.append((len(members), len(text), digest, band_keys(least, bands, rows), packed(least)))
-            made = pd.DataFrame(out, columns=["n_shingles", "chars", "digest", "bands", "signature"])
-            made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield made
+            made = [pa.array(column, field.type) for column, field in zip(zip(*out, strict=True), list(kind)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], schema=kind)
 
     schema = "doc_id long, n_shingles long, chars long, digest binary, bands array<long>, signature array<long>"
-    return materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, schema))
+    return materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema))
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``SLICE`` at a time: so many texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def estimated(left: Column, right: Column) -> Column:
@@ -152,38 +168,55 @@ def floor_of(threshold: float) -> float:
     return threshold - SIGMAS * math.sqrt(share * (1 - share) / HASHES) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b`` of the pairs whose full sets have ``100 * intersection >= percent * union``."""
+def met(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of the linked pairs, from rows ``b, part, of, a, text`` in that order.
 
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes, known = Hashes(), {}
+    Of a key (``b, part, of``) the text of ``b`` itself comes first, without ``a``; one set is held, and the next is made beside it.
+    """
+    hashes, current, leads = Hashes(), None, []
+    hashes.limit = WORDS_HELD
+    for batch in slices(batches):
+        out = []
+        for b, part, of, a, text in zip(*[batch.column(name).to_pylist() for name in ("b", "part", "of", "a", "text")], strict=True):
+            if (b, part, of) != current:
+                current, leads, seen = (b, part, of), [], set()
+            if a is None:
+                # Rows of one id and one text are one; other texts of an id have keys of their own.
+                if text not in seen:
+                    seen.add(text)
+                    leads.append(shingles(text, width, hashes))
+                continue
+            own = shingles(text, width, hashes)
+            for lead in leads:
+                both = len(np.intersect1d(lead, own, assume_unique=True))
+                if 100 * both >= percent * (len(lead) + len(own) - both):
+                    out.append((a, b))
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        def members(text: str) -> np.ndarray:
-            if text not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[text] = shingles(text, width, hashes)
-            return known[text]
 
-        for lefts, rights in batches:
-            out = []
-            for left, right in zip(lefts, rights, strict=True):
-                one, two = members(left), shingles(right, width, hashes)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                out.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pd.Series(out, dtype=bool)
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b`` of the pairs whose full sets have ``100 * intersection >= percent * union``."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return met(batches, width, percent)
 
-    check = F.pandas_udf(linked, "boolean")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    chosen = materialise(texts.filter(may_be_one_of(needed)(F.col("id"))))
+    chosen = materialise(texts.filter(may_be_one_of(needed)(F.col("id"))).withColumn("of", F.xxhash64("text")))
     # An id that many meet comes in as many parts as it takes, each with its own copy of the text.
     crowds = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
     placed = pairs.join(crowds, "b").withColumn("part", F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).cast("int"))
+    # Each text of an id is met by itself, so that no row carries two texts and no key has more than one.
+    texts_of = chosen.select(F.col("id").alias("b"), "of").distinct()
+    placed = placed.select("a", "b", "part").hint("merge").join(texts_of.hint("merge"), "b")
     leads = crowds.select("b", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     # Both sides of these joins grow with the input: merged at every size, never broadcast where still small.
-    left = placed.select("a", "b", "part").hint("merge").join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    right = leads.hint("merge").join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return left.join(right, ["b", "part"]).filter(check("tb", "ta")).select("a", "b")
+    left = placed.hint("merge").join(chosen.select(F.col("id").alias("a"), "text").hint("merge"), "a")
+    right = leads.hint("merge").join(chosen.select(F.col("id").alias("b"), "of", "text").hint("merge"), "b")
+    names = ["b", "part", "of", "a", "text"]
+    both = left.select(*names).unionByName(right.withColumn("a", F.lit(None).cast("long")).select(*names))
+    ordered = both.repartition("b", "part", "of").sortWithinPartitions("b", "part", "of", F.col("a").asc_nulls_first())
+    return ordered.mapInArrow(linked, "a long, b long")
 
 
 def _cells(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
