@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.components import components, relabelled
 from riskweave.llm.id_filter import may_be_one_of
-from riskweave.llm.text import Hashes, encoded, mixed, window_hashes
+from riskweave.llm.text import WORDS_HELD, Hashes, encoded, mixed, window_hashes
 from riskweave.session import materialise
 
 HASHES = 128
@@ -52,8 +52,8 @@ SIGMAS = 6.0
 MISS = 1e-6
 #: Movers and members of a cell, on average at most, and rows and characters of text of the groups that cells are put together in.
 CHUNK, GROUP_ROWS, GROUP_CHARS = 512, 4000, 32_000_000
-#: Rows whose texts are Python strings at once, and words whose hashes a worker keeps.
-SLICE, WORDS_HELD = 256, 1 << 17
+#: Rows whose texts are Python strings at once.
+SLICE = 256
 PER_LONG = 64 // BITS
 LOW = (1 << BITS) - 1
 
@@ -262,6 +262,7 @@ def near_in_cells(group: pd.DataFrame, least: float) -> pd.DataFrame:
 def links_in_cells(group: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """Pairs of components (greater first) with a link between their rows in a cell, from full sets."""
     hashes, found = Hashes(), set()
+    hashes.limit = WORDS_HELD
     known: dict[int, np.ndarray] = {}
     for i, text in zip(group["id"], group["text"], strict=True):
         if i not in known:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.text import encoded, held_out
+from riskweave.llm.text import WORDS_HELD, encoded, held_out
 
 WORDS = 1 << 14
 RANK = 8
@@ -50,7 +50,7 @@ class Buckets(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = zlib.crc32(word) % WORDS
-        if len(self) < 300_000:
+        if len(self) < WORDS_HELD:
             self[word] = value
         return value
 

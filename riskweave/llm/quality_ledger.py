@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.text import Hashes, encoded, window_hashes
+from riskweave.llm.text import WORDS_HELD, Hashes, encoded, window_hashes
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters",
@@ -73,6 +73,7 @@ def measures_of(text: str | None, hashes: Hashes) -> tuple[int, ...]:
 
 def _measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = Hashes()
+    hashes.limit = WORDS_HELD
     for texts in batches:
         rows = [measures_of(text, hashes) for text in texts]
         yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(MEASURES)), columns=list(MEASURES))

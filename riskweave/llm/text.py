@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words that a worker remembers while it reads texts: a worker lives on and keeps what it has taken.
+WORDS_HELD = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
